@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import bpe, exact_dedup, lm, media, mixing, pii, sharding, simhash, suffix_dedup
+from quillstream.llm import bpe, exact_dedup, lm, media, mixing, pii, sharding, simhash, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score_rows(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_sharding, op4_media, op6_suffix_dedup, op7_mixing, op8_pii, op9_bpe, op10_lm)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_sharding, op4_media, op5_toxicity, op6_suffix_dedup, op7_mixing, op8_pii, op9_bpe, op10_lm)}
 
 
 OP2 = """
