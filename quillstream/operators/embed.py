@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstream.functions import text as X
 from quillstream.functions import vectors as V
@@ -87,7 +88,7 @@ class OnnxEmbedder:
 def embed_column(df: DataFrame, make: Callable[[], Embedder], *, text_col: str = "text", out_col: str = "embedding", batch: int = 64) -> DataFrame:
     """df with an array<float> column; a model is made once a task and fed batches of texts."""
     ship(df.sparkSession)
-    schema = df.schema.add(out_col, "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
