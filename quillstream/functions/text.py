@@ -64,7 +64,7 @@ def unescape_html(c: Column) -> Column:
 
 
 def escape_underscores(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<!\\)_", r"\\\\_")
+    return F.regexp_replace(c, r"(?<!\\)_", r"\\_")
 
 
 #: Typographic characters and their ASCII forms.

@@ -128,9 +128,10 @@ def recover_links(markdown: str, links: list[tuple[str, str]]) -> str:
     """Anchors that a text layer lost, in order: each text's next plain occurrence becomes a link."""
     at = 0
     for text, href in links:
-        i = markdown.find(text, at) if text else -1
-        if i < 0 or markdown[i - 1 : i] == "[":
+        found = re.compile(rf"(?<![\w\[]){re.escape(text)}(?!\w)").search(markdown, at) if text else None
+        if found is None:
             continue
+        i = found.start()
         made = f"[{text}]({href})"
         markdown = markdown[:i] + made + markdown[i + len(text) :]
         at = i + len(made)
