@@ -27,14 +27,16 @@ def offsets(v: int) -> np.ndarray:
 
 
 def words_at(padded: np.ndarray, at: np.ndarray, count: int) -> list[np.ndarray]:
-    """count big-endian words of 8 bytes from each position."""
-    out = []
-    for k in range(count):
-        w = np.zeros(at.size, np.uint64)
-        for j in range(8):
-            w = (w << np.uint64(8)) | padded[at + (8 * k + j)]
-        out.append(w)
-    return out
+    """count big-endian words of 8 bytes from each position; padded goes on for as many bytes after the last."""
+    every = np.ndarray((padded.size - 7,), ">u8", np.ascontiguousarray(padded), 0, (1,))
+    return [every[at + 8 * k].astype(np.uint64) for k in range(count)]
+
+
+def _lead(buf_size: int, padded: np.ndarray, at: np.ndarray, v: int) -> list[np.ndarray]:
+    """Keys that order suffixes by their first v bytes; one that ends there comes before one that goes on."""
+    keys = words_at(padded, at, v // 8) if v >= 8 else [padded[at + j] for j in range(v)]
+    left = np.minimum(buf_size - at, v)
+    return [*keys, left] if left.size and left.min() < v else keys
 
 
 def _dense(keys: list[np.ndarray]) -> tuple[np.ndarray, int]:
@@ -49,18 +51,21 @@ def _dense(keys: list[np.ndarray]) -> tuple[np.ndarray, int]:
     return rank, int(rank[order[-1]]) + 1 if order.size else 0
 
 
-def cover_ranks(buf: np.ndarray, padded: np.ndarray, v: int) -> np.ndarray:
-    """For each position of the cover its suffix's rank among them; -1 elsewhere and past the end."""
+def cover_ranks(buf: np.ndarray, padded: np.ndarray, v: int, depth: int | None = None) -> np.ndarray:
+    """For each position of the cover its suffix's rank among them; -1 elsewhere and past the end.
+
+    With a depth, suffixes that agree on that many bytes may share a rank.
+    """
     n = buf.size
     at = np.flatnonzero(np.isin(np.arange(v), COVERS[v])[np.arange(n) % v])
     place = np.full(n + 2 * v, -1, np.int64)
-    # a suffix that ends within v bytes comes before one that goes on, whatever the padding
-    rank, kinds = _dense([*words_at(padded, at, v // 8 or 1), np.minimum(n - at, v)]) if v >= 8 else _dense([*(padded[at + j] for j in range(v)), np.minimum(n - at, v)])
+    rank, kinds = _dense(_lead(n, padded, at, v))
     step = v
-    while kinds < at.size:
+    while kinds < at.size and (depth is None or step < depth):
         place[at] = rank
         ahead = at + step
-        rank, kinds = _dense([rank, np.where(ahead < n, place[np.minimum(ahead, n)], -1)])
+        after = np.where(ahead < n, place[np.minimum(ahead, n)], -1)
+        rank, kinds = _dense([rank * np.int64(kinds + 1) + after + 1])
         step *= 2
     place[at] = rank
     return place
@@ -69,21 +74,35 @@ def cover_ranks(buf: np.ndarray, padded: np.ndarray, v: int) -> np.ndarray:
 def _untie(at: np.ndarray, group: np.ndarray, ranks: np.ndarray, v: int) -> np.ndarray:
     """Order of positions whose groups (ascending numbers) agree on v bytes: by group, then by suffix."""
     n, off, kind = at.size, offsets(v), at % v
-    wide = np.int64(ranks.size + 2)
+    group = group - group[0]
+    wide, last = np.int64(ranks.size + 2), ranks.size - 1
     behind = np.zeros(n, np.int64)
-    classes = [(c, np.flatnonzero(kind == c)) for c in np.unique(kind)]
-    for c, mine in classes:
-        for d, theirs in classes:
-            key = group[theirs] * wide + ranks[np.minimum(at[theirs] + off[c, d], ranks.size - 1)] + 1
-            key.sort()
-            own = group[mine] * wide
-            behind[mine] += np.searchsorted(key, own + ranks[np.minimum(at[mine] + off[c, d], ranks.size - 1)] + 1) - np.searchsorted(key, own)
+    classes = {c: np.flatnonzero(kind == c) for c in np.unique(kind).tolist()}
+    edges = np.arange(group[-1] + 1)
+    first = {c: np.searchsorted(group[x], edges) for c, x in classes.items()}  # of each group in a class
+    keys: dict[tuple[int, int], np.ndarray] = {}  # (class, offset): group and rank, in place
+
+    def key(c: int, d: int) -> np.ndarray:
+        if (c, d) not in keys:
+            x = classes[c]
+            keys[c, d] = group[x] * wide + ranks[np.minimum(at[x] + d, last)] + 1
+        return keys[c, d]
+
+    ordered: dict[tuple[int, int], np.ndarray] = {}
+    for c, mine in classes.items():
+        for d in classes:
+            o = int(off[c, d])
+            if (d, o) not in ordered:
+                ordered[d, o] = np.sort(key(d, o))
+            behind[mine] += np.searchsorted(ordered[d, o], key(c, o)) - first[d][group[mine]]
     return np.lexsort((behind, group))
 
 
-def sort_suffixes(buf: np.ndarray, starts: np.ndarray | None = None, v: int = 32, block: int = 1 << 20) -> np.ndarray:
+def sort_suffixes(buf: np.ndarray, starts: np.ndarray | None = None, v: int = 32, block: int = 1 << 20, depth: int | None = None) -> np.ndarray:
     """starts (all positions if None) in the order of the suffixes of buf that begin there.
 
+    With a depth, the order among suffixes that agree on so many bytes is left open; they still stand together.
+
     Buckets are ranges of the first two bytes with about `block` suffixes each; one is sorted at a time.
     """
     n = buf.size
@@ -91,7 +110,7 @@ def sort_suffixes(buf: np.ndarray, starts: np.ndarray | None = None, v: int = 32
     if starts.size == 0:
         return starts
     padded = np.concatenate([buf, np.zeros(v + 8, np.uint8)])
-    ranks = cover_ranks(buf, padded, v)
+    ranks = cover_ranks(buf, padded, v, depth)
     lead = padded[starts].astype(np.int64) << 8 | padded[starts + 1]
     ends = np.cumsum(np.bincount(lead, minlength=1 << 16))
     out, low = [], 0
@@ -102,8 +121,7 @@ def sort_suffixes(buf: np.ndarray, starts: np.ndarray | None = None, v: int = 32
         low = high
         if not bucket.size:
             continue
-        keys = words_at(padded, bucket, v // 8) if v >= 8 else [padded[bucket + j] for j in range(v)]
-        keys.append(np.minimum(n - bucket, v))
+        keys = _lead(n, padded, bucket, v)
         order = np.lexsort(keys[::-1])
         new = np.ones(order.size, bool)
         new[1:] = False

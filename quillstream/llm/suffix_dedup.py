@@ -339,7 +339,7 @@ def equal_windows(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np
     """The windows of the strings at `at` in suffix order, and a number for each that equal windows share."""
     n = size - LENGTH + 1
     starts = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    order = sort_suffixes(buf, starts)
+    order = sort_suffixes(buf, starts, depth=LENGTH)
     words = words_at(np.concatenate([buf, np.zeros(LENGTH + 16, np.uint8)]), order, LENGTH // 8 + 1)
     words[-1] >>= np.uint64(8 * (8 - LENGTH % 8))
     return order, np.cumsum(_groups(*words)) - 1
