@@ -52,15 +52,16 @@ def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp long) to links (a, b) whose components are those of all pairs within two bits."""
     half = F.when(F.col("i") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     bit = F.expr("shiftleft(1L, cast(i % 32 as int))")
-    # dealt out before they multiply: partitions of bare fingerprints are small enough to be coalesced into a few
+    # dealt out before they multiply: partitions of bare fingerprints are small enough to be coalesced into a few.
+    # By a hash, as Spark leaves out a second exchange by the same column
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = fps.repartition(parts, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select("fp", "i", F.expr("shiftleft(cast(i as bigint), 32)").bitwiseOR(half.bitwiseAND(F.bitwise_not(bit))).alias("key"))
+    variants = fps.repartition(parts, F.xxhash64("fp")).select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select("fp", "i", F.expr("shiftleft(cast(i as bigint), 32)").bitwiseOR(half.bitwiseAND(F.bitwise_not(bit))).alias("key"))
     shared = checkpointed(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x")).where("n > 1"))
     few = shared.where("n <= 3").withColumn("mid", F.when(F.col("n") == 3, F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))).otherwise(F.col("hi")))
     pairs = few.select(F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("lo", "mid"), ("mid", "hi"), ("lo", "hi"))])).alias("p")).select("p.a", "p.b")
     near = pairs.where("a != b AND bit_count(a ^ b) <= 2").distinct()
 
-    crowded = variants.join(shared.where("n > 3").select("key"), "key").groupBy("fp").agg(F.bit_or(F.expr("shiftleft(1L, cast(i as int))")).alias("mask")).repartition(parts, "fp")
+    crowded = variants.join(shared.where("n > 3").select("key"), "key").groupBy("fp").agg(F.bit_or(F.expr("shiftleft(1L, cast(i as int))")).alias("mask")).repartition(parts, F.xxhash64("fp"))
     # positions (p, q): one in each segment if both variants are crowded, or both in one segment if the other is crowded throughout
     lower, upper = F.expr("mask & 4294967295"), F.expr("shiftrightunsigned(mask, 32)")
     full = F.lit(0xFFFFFFFF)
