@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Upper bound on one Arrow batch handed to a Python worker; long texts then make batches shorter, not larger.
 ARROW_BATCH_BYTES = 32 << 20
 
+#: Lets a plan's shuffle files go when it has run: what was materialised doesn't need them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _lock = threading.Lock()
 _shipped: set[str] = set()
 
@@ -46,12 +49,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "quillstream-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # read when a plan is made, hence the select
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
