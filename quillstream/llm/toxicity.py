@@ -12,6 +12,7 @@ window is followed by a constant tail that both dictionaries hold.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -29,7 +30,7 @@ from quillstream.runtime import ship
 TOXIC_ROWS, ORDINARY_ROWS = 1_500, 3_000
 HELD_OUT, HELD_OUT_REST, CUT = 4, 2, 0.3
 WINDOW, SHORTEST, LONGEST, PER_ROW = 6, 6, 10, 6
-COMMON, TOXIC_BYTES, LEAST_SHARE, RATIO = 300, 600, 0.1, 3
+COMMON, TOXIC_BYTES, LEAST_SHARE, RATIO, CANDIDATES = 300, 600, 0.1, 3, 20_000
 TAIL, GAP = bytes(range(128, 192)), b"\0"
 
 
@@ -53,10 +54,10 @@ def strings(words: list[bytes]) -> Counter[bytes]:
     return Counter({g: min(n, PER_ROW) for g, n in out.items()})
 
 
-def rates(rows: list[list[bytes]], only: set[bytes] | None = None) -> dict[bytes, float]:
+def rates(rows: list[str], only: dict[bytes, float] | None = None) -> dict[bytes, float]:
     """Mean number of each string in a row, damped by the row's length."""
     out: dict[bytes, float] = {}
-    for words in rows:
+    for words in map(words_of, rows):
         share = 1 / math.sqrt(len(words) + 20) / len(rows)
         for g, n in strings(words).items():
             if only is None or g in only:
@@ -64,10 +65,10 @@ def rates(rows: list[list[bytes]], only: set[bytes] | None = None) -> dict[bytes
     return out
 
 
-def distinctive(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+def distinctive(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Strings that toxic rows have far oftener, the best first; none within another."""
-    many = rates(toxic)
-    few = rates(ordinary, set(many))
+    many = dict(heapq.nlargest(CANDIDATES, rates(toxic).items(), key=lambda x: (x[1], x[0])))
+    few = rates(ordinary, many)
     scored = []
     for g, p in many.items():
         q = few.get(g, 0.0)
@@ -125,12 +126,11 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """The model of two classes of texts; without texts of a class, a constant."""
     if not toxic or not ordinary:
         return Model(b"", b"", 1, np.zeros(6), 1.0 if toxic else 0.0)
-    bad, good = [words_of(t) for t in toxic], [words_of(t) for t in ordinary]
-    common = Counter(w for words in good for w in words)
+    common = Counter(w for t in ordinary for w in words_of(t))
     shared = GAP.join(b" " + w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:COMMON][::-1]) + GAP + TAIL
-    model = Model(GAP.join(distinctive(bad, good)) + GAP + shared, shared, 1, np.zeros(6))
-    found = [model.distances(w) for w in (*bad, *good)]
-    y = np.array([1.0] * len(bad) + [0.0] * len(good))
+    model = Model(GAP.join(distinctive(toxic, ordinary)) + GAP + shared, shared, 1, np.zeros(6))
+    found = [model.distances(words_of(t)) for t in (*toxic, *ordinary)]
+    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     best = math.inf
     for threshold in range(1, 7):
         x = np.array([features(d, threshold) for d in found])
