@@ -126,7 +126,7 @@ class Pipeline:
         converter = converter or Converter()
         raw = files.read_files(self.spark, path, tuple(converter.allowed_formats) if converter.allowed_formats else None).where(F.col("format").isNotNull())
         hashed = raw.select("path", "format", "content", F.sha2("content", 256).alias("hash")).withColumn("id", F.sha2(F.concat_ws("|", "path", "hash"), 256))
-        documents, chunks = self.store.tables()
+        documents = self.store.tables()[0]
         first = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("hash").orderBy("path"))).where("_n = 1").drop("_n")
         fresh = first.join(documents.select("hash"), "hash", "left_anti")
         parsed = files.parse_documents(fresh, id_col="id", format_col="format", content_col="content").persist()
@@ -136,9 +136,9 @@ class Pipeline:
             told = files.render(good).withColumnRenamed("output", "markdown").join(fresh.select(F.col("id").alias("doc_id"), "path", "hash"), "doc_id")
             metrics = F.struct(F.struct(X.word_count(F.col("markdown")).alias("words"), F.length("markdown").alias("chars")).alias("metrics"), F.col("markdown"))
             rows = told.select(F.col("doc_id").alias("id"), F.col("path").alias("source_uri"), X.title_of(F.col("markdown"), F.col("path")).alias("title"), "hash", F.to_json(metrics).alias("metadata"), X.rfc3339(F.current_timestamp()).alias("created_at"))
-            kept, kept_chunks = store.delete_documents(documents, chunks, documents.join(rows.select("source_uri"), "source_uri", "left_semi").select("id"))
+            stale = documents.join(rows.select("source_uri"), "source_uri", "left_semi").select("id")
             if counts.get("success"):
-                self.store.replace(kept.select(*documents.columns).unionByName(rows), kept_chunks.select(*chunks.columns).unionByName(self.chunk(good)))
+                self.store.change(rows, self.chunk(good), stale)
             return {"ingested": counts.get("success", 0), "failed": counts.get("failure", 0), "skipped": hashed.count() - sum(counts.values())}
         finally:
             parsed.unpersist()

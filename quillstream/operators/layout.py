@@ -251,25 +251,21 @@ def assemble(regions: list[Box], cells: list[Box], width: float, height: float)
     order = reading_order(resolve(confident(regions), cells), width)
     captions = pair_captions(order)
     by_ix = {b.ix: b for b in order}
-    used = set(captions.values())
+    order = [b for b in order if b.ix not in captions.values()]
+    said = {b.ix: b.text or region_text(b, cells) for b in order}
+    languages = {after.ix: b for b, after in zip(order, order[1:]) if after.label == "code" and b.label == "text" and LANGUAGE.match(said[b.ix])}
+    labels = {b.ix for b in languages.values()}
     grid = lambda v, size: int(min(max(int(512 * v / size + 0.5), 0), 511))
     out: list[dict] = []
-    for k, b in enumerate(order):
-        if b.ix in used:
-            continue
-        text = b.text or region_text(b, cells)
-        kind = LABEL_KINDS.get(b.label, "paragraph")
-        after = order[k + 1] if k + 1 < len(order) else None
-        if kind == "paragraph" and LANGUAGE.match(text) and after is not None and after.label == "code":
-            used_language = LANGUAGE.match(text)[1]
-            by_ix[after.ix] = after
-            out.append({"_language": used_language})
+    for b in order:
+        if b.ix in labels:
             continue
+        text, kind = said[b.ix], LABEL_KINDS.get(b.label, "paragraph")
         n = {"kind": kind, "text": text, "location": [grid(b.l, width), grid(b.t, height), grid(b.r, width), grid(b.b, height)]}
         if kind == "heading":
             n["level"] = 1 if b.label == "title" else 2
         elif kind == "list_item":
-            n |= {"text": re.sub(r"^[·•\-*]\s*", "", text), "level": 0, "ordered": False, "number": 1, "first_in_list": not out or out[-1].get("kind") != "list_item"}
+            n |= {"text": re.sub(r"^[·•\-*]\s*", "", text), "level": 0, "ordered": False, "number": 1, "first_in_list": not out or out[-1]["kind"] != "list_item"}
         elif kind == "checkbox":
             n["checked"] = b.label == "checkbox_selected"
         elif kind == "table":
@@ -279,13 +275,14 @@ def assemble(regions: list[Box], cells: list[Box], width: float, height: float)
             n["text"] = None
         elif kind == "page_furniture":
             n |= {"layer": "furniture", "marker": b.label}
-        if out and "_language" in out[-1]:
-            n["language"] = out.pop()["_language"].lower()
+        if b.ix in languages:
+            n["language"] = said[languages[b.ix].ix].strip().lower()
         if b.ix in captions:
-            n["caption"] = region_text(by_ix[captions[b.ix]], cells) or by_ix[captions[b.ix]].text
+            c = by_ix[captions[b.ix]]
+            n["caption"] = region_text(c, cells) or c.text
         if n.get("text") or kind in ("picture", "table"):
             out.append(n)
-    return [n for n in out if "_language" not in n]
+    return out
 
 
 SKIPPED = ("picture", "page_furniture", "page_break")

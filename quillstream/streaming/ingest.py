@@ -26,7 +26,7 @@ def ingest(stream: DataFrame, table: store.Store, chunk: Callable[[DataFrame], D
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        documents, chunks = table.tables()
+        documents = table.tables()[0]
         fresh = df.select("source_uri", "text", F.sha2("text", 256).alias("hash")).dropDuplicates(["hash"])
         fresh = fresh.join(documents.select("hash"), "hash", "left_anti").withColumn("id", F.sha2(F.concat_ws("|", "source_uri", "hash"), 256))
         fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("source_uri").orderBy("hash"))).where("_n = 1").drop("_n").persist()
@@ -34,9 +34,8 @@ def ingest(stream: DataFrame, table: store.Store, chunk: Callable[[DataFrame], D
             if fresh.isEmpty():
                 return
             stale = documents.join(fresh.select("source_uri"), "source_uri", "left_semi").select("id")
-            documents, chunks = store.delete_documents(documents, chunks, stale)
             rows = fresh.select("id", "source_uri", F.element_at(F.split("source_uri", "/"), -1).alias("title"), "hash", F.to_json(F.struct(F.struct(F.length("text").alias("chars")).alias("metrics"))).alias("metadata"), F.lit("1970-01-01T00:00:00Z").alias("created_at"))
-            table.replace(documents.select(*rows.columns).unionByName(rows), chunks.select(*store.STORED_CHUNK.names).unionByName(chunk(fresh.select("id", "text")).select(*store.STORED_CHUNK.names)))
+            table.change(rows, chunk(fresh.select("id", "text")), stale)
         finally:
             fresh.unpersist()
 

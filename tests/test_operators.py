@@ -120,8 +120,22 @@ def test_store(spark, tmp_path):
     s.add(spark.createDataFrame([("1", "a", "new", "h1", "{}", "later")], store.STORED_DOCUMENT), spark.createDataFrame([chunk("c9", "1")], store.STORED_CHUNK))
     (row,) = s.tables()[0].collect()
     assert (row.title, row.created_at) == ("new", "c") and [r.id for r in s.tables()[1].collect()] == ["c9"]
+    before = s.tables()[1].collect()
+    s.compact()
+    assert len(s._log()) == 1 and s.tables()[1].collect() == before
     s.delete("a")
     assert s.tables()[0].count() == s.tables()[1].count() == 0
+    s.add(docs, spark.createDataFrame([chunk("c1", "1")], store.STORED_CHUNK))  # what was gone may come again
+    assert s.tables()[0].count() == 2 and s.tables()[1].count() == 1
+
+
+def test_store_compacts_by_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "COMPACT_AT", 3)
+    s = store.Store(spark, str(tmp_path / "store"), 2)
+    s.migrate()
+    for k in range(5):
+        s.change(spark.createDataFrame([(str(k), "a", "t", "h", "{}", "c")], store.STORED_DOCUMENT))
+    assert len(s._log()) <= 3 and s.tables()[0].count() == 5
 
 
 # Chunkers
