@@ -89,7 +89,7 @@ def proposed(t: Column, at: int) -> Column:
 def rated(at: int) -> Column:
     """The confirmed spans of one kind in column p_<kind> of texts t, as array<struct<start, ord, end, score>>."""
     kind, _, _, score, words = KINDS[at]
-    told = F.lit(r"\b(?:" + "|".join(words) + ")")
+    told = F.lit("(?:^|[^a-z0-9])(?:" + "|".join(words) + ")")
 
     def rate(s: Column) -> Column:
         near = F.lower(F.substring(F.col("t"), F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))))
@@ -119,3 +119,48 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     base = F.array_sort(F.concat(*[F.col(f"s_{k}") for k in BASE]))
     every = F.array_sort(F.concat(*[F.col(f"s_{k[0]}") for k in KINDS]))
     return df.select("doc_id", *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in BASE], F.sha2(joined(base, "span"), 256).alias("base_sha256"), joined(every, "span").alias("spans"), joined(every, "score").alias("scores"))
+
+
+# The same in DuckDB's SQL: base patterns as the contract has them (its engine is linear and has no look-around).
+
+_SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN c::INT * 2 - 9 ELSE c::INT * 2 END)) % 10 = 0"
+_TURNED = "substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4)"
+_VALUES = f"list_transform(string_split({_TURNED}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
+_SQL_CHECKS = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda p: COALESCE(TRY_CAST(p AS HUGEINT) <= 255, false))) = 4",
+    "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}",
+    "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
+    "iban": f"length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, {_VALUES}), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1",
+    "ssn": "true",
+}
+
+
+def oracle_sql() -> str:
+    """find_pii over documents. Rows are told apart by number, as they may repeat."""
+    parts = []
+    for k, (kind, _, _, score, words) in enumerate(KINDS):
+        pattern = _SQL_PATTERNS[kind]
+        near = f"lower(substr(t, greatest(s - {CONTEXT}, 0) + 1, least(s, {CONTEXT})))"
+        told = f"CASE WHEN regexp_matches({near}, '(?:^|[^a-z0-9])(?:{'|'.join(words)})') THEN {min(1.0, score + RAISE)}::DOUBLE ELSE {score}::DOUBLE END"
+        found = f"""SELECT r, t, m, s, s + length(m) AS e FROM (
+  SELECT r, t, ms[i] AS m, list_sum(list_transform(gs[1:i], lambda x: length(x)))::BIGINT + COALESCE(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+  FROM (SELECT r, t, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d)))"""
+        parts.append(f"SELECT r, {k} AS o, '{kind}' AS kind, s, e, {told} AS score FROM ({found}) WHERE {_SQL_CHECKS[kind]}")
+    spans = " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+    base = ", ".join(f"COALESCE(n_{k}, 0) AS n_{k}" for k in BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS t FROM documents),
+p AS (SELECT * FROM ({spans}) WHERE o < {len(BASE)} OR score >= {THRESHOLD}),
+g AS (SELECT r, {counts}, {joined} FILTER (o < {len(BASE)}) AS base, {joined} AS spans, string_agg(printf('%.2f', score), ',' ORDER BY s, o, e) AS scores FROM p GROUP BY r)
+SELECT doc_id, {base}, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans, COALESCE(scores, '') AS scores FROM d LEFT JOIN g USING (r)"""

@@ -67,4 +67,4 @@ FROM documents WINDOW g AS (PARTITION BY COALESCE(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op7_mixing": mixing.ORACLE}
+    return {"op2_exact_dedup": OP2, "op7_mixing": mixing.ORACLE, "op8_pii": pii.oracle_sql()}
