@@ -53,3 +53,41 @@ def test_command_line(folder, capsys):
     assert capsys.readouterr().out.startswith("# Cats")
     with pytest.raises(SystemExit):
         main(["convert", str(folder / "bad.docx")])
+
+
+def test_store_views(spark, folder, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from quillstream.operators import store
+
+    p = Pipeline(spark, str(tmp_path / "store"), Config(dim=8))
+    p.ingest(str(folder))
+    docs = {json.loads(r.json)["title"]: json.loads(r.json) for r in p.documents().collect()}
+    assert set(docs) == {"Cats", "Dogs"} and docs["Cats"]["has_markdown"] and "markdown" not in docs["Cats"]["metadata"]
+    assert "embedding" not in store.tagged_hits(p.store.tables()[1]).columns
+    assert p.store.tables()[1].where(F.size("embedding") != 8).count() == 0
+    p.store.delete(p.store.tables()[0].where("title = 'Dogs'").first()["source_uri"])
+    assert p.stats()["documents"] == 1
+
+
+def test_mirror_and_content_types(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillstream.sources import files
+
+    df = spark.createDataFrame([("../a/b.html", "# x\n\ny")], "rel_path string, output string")
+    files.write_mirror(df, str(tmp_path / "mirror"))
+    (found,) = (tmp_path / "mirror").rglob("*.txt")
+    assert found.read_text() == "# x\n\ny\n" and "b.html.md" in str(found)
+    kinds = spark.createDataFrame([("text/HTML; charset=x",), ("application/pdf",), ("x/y",)], "c string").select(files.format_of_content_type(F.col("c")).alias("f"))
+    assert [r.f for r in kinds.collect()] == ["html", "pdf", None]
+
+
+@pytest.mark.parametrize("url", ["ftp://x.org/a", "http:///a", "http://127.0.0.1/", "http://localhost/x", "http://x.org/"])
+def test_urls_that_are_not_fetched(url):
+    from quillstream.sources.remote import check_url
+
+    with pytest.raises((ValueError, OSError)):
+        check_url(url, frozenset({"127.0.0.1", "localhost"}))
