@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quillstream.functions import text as X
 from quillstream.functions import vectors as V
-from quillstream.runtime import ship
+from quillstream.runtime import ship, spread
 
 DIM = 1024
 OFFSET, PRIME, WRAP = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
@@ -34,29 +34,40 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+def fnv1a_all(features: list[bytes]) -> np.ndarray:
+    """fnv1a of each, a byte of all at a time: longest first, so those that go on are a prefix."""
+    size = np.fromiter(map(len, features), np.int64, len(features))
+    order = np.argsort(-size, kind="stable")
+    buf = np.frombuffer(b"".join(features), np.uint8)
+    start = (np.cumsum(size) - size)[order]
+    left = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")  # features longer than j bytes
+    h = np.full(size.size, OFFSET, np.uint64)
+    for j, n in enumerate(left.tolist()):
+        h[:n] = (h[:n] ^ buf[start[:n] + j]) * np.uint64(PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 class HashEmbedder:
     """Words and adjacent pairs, hashed to signed places, normalised."""
 
     def __init__(self, dim: int = DIM):
         self.dim = dim
-        self.known: dict[bytes, tuple[int, float]] = {}
-
-    def place(self, feature: bytes) -> tuple[int, float]:
-        found = self.known.get(feature)
-        if found is None:
-            h = fnv1a(feature)
-            found = h % self.dim, -1.0 if h >> 63 else 1.0
-            if len(self.known) < 1 << 18:
-                self.known[feature] = found
-        return found
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, t in zip(out, texts):
+        known: dict[bytes, int] = {}
+        rows, which = [], []
+        for k, t in enumerate(texts):
             words = [w.encode().lower() for w in t.split()]
-            for f in (*words, *map(b"_".join, zip(words, words[1:]))):
-                at, sign = self.place(f)
-                row[at] += sign
+            found = [known.setdefault(f, len(known)) for f in (*words, *map(b"_".join, zip(words, words[1:])))]
+            rows.append(np.full(len(found), k))
+            which.append(np.array(found, np.int64))
+        h = fnv1a_all(list(known))
+        at = (h % np.uint64(self.dim)).astype(np.int64)
+        sign = np.where(h >> np.uint64(63), -1.0, 1.0)
+        row, f = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*which, np.zeros(0, np.int64)])
+        out = np.bincount(row * self.dim + at[f], sign[f], len(texts) * self.dim).reshape(len(texts), self.dim)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n == 0, 1, n)
 
@@ -94,12 +105,12 @@ def embed_column(df: DataFrame, make: Callable[[], Embedder], *, text_col: str =
         model = make()
         for b in batches:
             texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            rows: list = []
-            for i in range(0, len(texts), batch):
-                rows += list(model.embed(texts[i : i + batch]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.float32()))], [*b.schema.names, out_col])
+            parts = [model.embed(texts[i : i + batch]).astype(np.float32) for i in range(0, len(texts), batch)]
+            flat = np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(flat.shape[0] + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, out_col])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def hash_features(docs: DataFrame, dim: int = DIM, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

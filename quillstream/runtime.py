@@ -41,6 +41,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, if it comes in fewer partitions than there are; else as it is.
+
+    For work that takes far longer than moving its rows. Large inputs have more partitions than cores and don't move, nor do
+    streams.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise df in the reliable checkpoint folder.
 

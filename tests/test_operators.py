@@ -247,3 +247,8 @@ def test_spectrum_and_recognition():
 def test_chat_column(spark):
     df = spark.createDataFrame([("[1] yes\n\nQuestion: q",)], "prompt string")
     assert models.complete_column(df, models.EchoChat).first()["answer"] == "yes"
+
+
+def test_hashes_of_many():
+    texts = [b"", b"a", b"hello", "Ünïcode ☃".encode(), b"x" * 300, b"a"]
+    assert embed.fnv1a_all(texts).tolist() == [embed.fnv1a(t) for t in texts] and embed.fnv1a_all([]).size == 0
