@@ -1,19 +1,26 @@
 """Language-model scoring with a log-bilinear model, beside an add-0.1 unigram base.
 
-Counts of all training words are kept by ranges of words' hashes, packed. The neural model predicts a token from the one
-before: the context's vector, through a matrix, is matched with each target's. Its vocabulary is the WORDS most frequent
-training words, one token for all others and one for a text's end. Its training data are the pair counts of the whole
-training part (at most (WORDS + 3) x (WORDS + 2) cells, whatever the corpus), from which noise-contrastive estimation
-takes its positives. One batch of matrix products then normalises the model over its targets. A word outside the
-vocabulary has the probability of the token for others times its smoothed share among those, so probabilities of seen
-words sum to one with the base's allowance for an unseen one.
-
-Words too rare for the vocabulary meet their counts by range of hash: none of them can have more than one in WORDS of the
-tokens, and texts send each of them once, with its frequency.
+The neural model predicts a token from the one before: the context's vector is matched with each target's. Every word of the
+training part has a vector as a target and one as a context, so the model grows with the corpus. The WORDS most frequent
+words, one class for all others and a text's end make the core. Its training data are the dense pair counts of the whole
+training part, from which noise-contrastive estimation takes its positives; both its sides are learned together.
+
+A word outside the core has its vectors learned next, in the range of hashes it belongs to, from all its own pairs and noise
+against the core, whose vectors stay: as a context from the class of each next token, as a target from the class of each
+token before. A prior draws them to the class's own vectors, so what is seen once moves little. The neighbour counts in such
+a pair by its class. Words with the same pairs share vectors.
+
+P(word | context) is P(class | context), normalised over the core's targets, times P(word | class of others, class of the
+context), normalised over all words outside the core and an unseen one. Both normalisers are exact: the first comes with a
+context's vector, the second is summed over the ranges. So probabilities of seen words sum to one with the base's allowance
+for an unseen one.
+
+Words outside the core meet their vectors by range of hash: none of them can have more than one in WORDS of the tokens.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -28,10 +35,11 @@ from quillstream.runtime import checkpointed, ship
 
 ADD, WORDS, HELD_OUT = 0.1, 512, 10
 DIM, NOISE, STEPS, RATE, SEED = 24, 25, 200, 0.05, 10
+PRIOR, FIT_STEPS, FIT_BLOCK = 1.0, 12, 2048
 PARTITION = 24 << 20  # text bytes a partition
 ROW_BLOCK = 1024
 
-COUNTS, TOTAL, KINDS, TOP, RARE, TEXTS, SUMS = range(7)
+COUNTS, TOTAL, KINDS, TOP, RARE, TEXTS, SUMS, VECTORS, SHARES = range(9)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -87,7 +95,7 @@ def count_words(parts: int):
 
 
 def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A part's counts as one message, its sums, and its most frequent words."""
+    """A part's sums and its most frequent words."""
     found: dict[bytes, int] = {}
     part = None
     for b in batches:
@@ -98,7 +106,7 @@ def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found[w] = found.get(w, 0) + n
     if part is None:
         return
-    yield _rows([(part, COUNTS, pack_counts(list(found), list(found.values())), None, None), (part, TOTAL, None, None, sum(found.values())), (part, KINDS, None, None, len(found))])
+    yield _rows([(part, TOTAL, None, None, sum(found.values())), (part, KINDS, None, None, len(found))])
     top = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:WORDS]
     yield _rows([(part, TOP, None, w, n) for w, n in top])
 
@@ -109,6 +117,80 @@ def token_ids(words: list[bytes], vocabulary: dict[bytes, int], other: int) -> n
     return np.array([*[get(w, other) for w in words], other + 1], np.int64)
 
 
+def neighbours(ids: np.ndarray, other: int) -> np.ndarray:
+    """The token before each, or the start."""
+    before = np.empty_like(ids)
+    before[0], before[1:] = other + 2, ids[:-1]
+    return before
+
+
+class RareWords:
+    """The words outside the core in a batch, with the row and the neighbours' classes of each occurrence."""
+
+    def __init__(self, other: int):
+        self.other = other
+        self.words: defaultdict[bytes, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
+        self.found: list[np.ndarray] = []
+
+    def add(self, row: int, words: list[bytes], ids: np.ndarray, before: np.ndarray) -> None:
+        at = np.flatnonzero(ids == self.other)
+        if at.size:
+            which = [self.words[words[j]] for j in at.tolist()]
+            self.found.append(np.stack([which, np.full(at.size, row), before[at], ids[at + 1]]))
+
+    def messages(self, parts: int, first: int, rows: int) -> list[tuple]:
+        """rows: 0 leaves the rows out."""
+        if not self.found:
+            return []
+        words = list(self.words)
+        wid, row, prev, following = np.concatenate(self.found, axis=1)
+        dealt = np.array([_part(w, parts) for w in words])
+        order = np.lexsort((row, wid, dealt[wid]))
+        wid, row, prev, following = wid[order], row[order], prev[order], following[order]
+        ends = [*(np.flatnonzero(np.diff(dealt[wid])) + 1).tolist(), wid.size]
+        kind = np.uint16 if max(rows, self.other + 3) <= 65536 else np.uint32
+        out = []
+        for a, b in zip([0, *ends], ends):
+            w = wid[a:b]
+            new = np.flatnonzero(np.diff(w, prepend=-1))
+            times = np.diff(np.append(new, w.size)).astype(np.uint32)
+            body = [x[a:b].astype(kind).tobytes() for x in ([row] if rows else []) + [prev, following]]
+            head = struct.pack("<qiiiB", first, rows, new.size, w.size, np.dtype(kind).itemsize)
+            out.append((int(dealt[w[0]]), RARE, b"".join([head, times.tobytes(), *body, b" ".join(words[i] for i in w[new].tolist())]), None, None))
+        return out
+
+
+def unpack_rare(data: bytes) -> tuple[int, int, list[bytes], np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """First uid, number of rows, words, times of each; row, class before and class after of each occurrence."""
+    first, rows, n_words, n, size = struct.unpack_from("<qiiiB", data)
+    at = struct.calcsize("<qiiiB")
+    times = np.frombuffer(data, np.uint32, n_words, at)
+    at += 4 * n_words
+    columns = []
+    for _ in range(3 if rows else 2):
+        columns.append(np.frombuffer(data, {2: np.uint16, 4: np.uint32}[size], n, at).astype(np.int64))
+        at += size * n
+    return first, rows, data[at:].split(b" "), times, (columns[0] if rows else None), columns[-2], columns[-1]
+
+
+def rare_pairs(vocabulary: dict[bytes, int], parts: int):
+    """(doc_id, text) of training rows to messages of the words outside the core."""
+    other = len(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rare = RareWords(other)
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                if not held_out(i):
+                    words = words_of(t.as_py())
+                    ids = token_ids(words, vocabulary, other)
+                    rare.add(0, words, ids, neighbours(ids, other))
+            yield _rows(rare.messages(parts, 0, 0))
+
+    return run
+
+
 def count_pairs(vocabulary: dict[bytes, int]):
     """Training rows to counts of (context, target) cells, one set a task."""
     other = len(vocabulary)
@@ -121,9 +203,7 @@ def count_pairs(vocabulary: dict[bytes, int]):
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 if not held_out(i):
                     ids = token_ids(words_of(t.as_py()), vocabulary, other)
-                    before = np.empty_like(ids)
-                    before[0], before[1:] = other + 2, ids[:-1]
-                    got.append(before * wide + ids)
+                    got.append(neighbours(ids, other) * wide + ids)
             if got:
                 total += np.bincount(np.concatenate(got), minlength=total.size)
         at = np.flatnonzero(total)
@@ -132,8 +212,13 @@ def count_pairs(vocabulary: dict[bytes, int]):
     return run
 
 
-def train(pairs: np.ndarray, seed: int = SEED, steps: int = STEPS) -> np.ndarray:
-    """Pair counts (contexts x targets) to natural log probabilities of the same shape, each row normalised.
+def smoothed(pairs: np.ndarray) -> np.ndarray:
+    unigram = pairs.sum(0) + 1.0
+    return unigram / unigram.sum()
+
+
+def learn_core(pairs: np.ndarray, seed: int = SEED, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair counts (contexts x targets) to context vectors (through the matrix), target vectors and biases.
 
     Noise-contrastive estimation: a pair's score less the log of its expected noise is the logit that it is no noise.
     Pairs and noise enter with their expected numbers (counts, and NOISE times a context's count by the smoothed unigram
@@ -141,8 +226,7 @@ def train(pairs: np.ndarray, seed: int = SEED, steps: int = STEPS) -> np.ndarray
     """
     contexts, targets = pairs.shape
     rng = np.random.default_rng(seed)
-    unigram = pairs.sum(0) + 1.0
-    unigram /= unigram.sum()
+    unigram = smoothed(pairs)
     params = [rng.normal(0, 0.1, (contexts, DIM)), np.eye(DIM), rng.normal(0, 0.1, (targets, DIM)), np.log(unigram)]
     total = pairs.sum()
     if total:
@@ -161,9 +245,120 @@ def train(pairs: np.ndarray, seed: int = SEED, steps: int = STEPS) -> np.ndarray
                 v += 0.01 * (d * d - v)
                 x += RATE * (1 - k / (steps + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-10)
     r, c, q, bias = params
-    z = (r @ c) @ q.T + bias
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    return r @ c, q, bias
+
+
+def log_normaliser(z: np.ndarray) -> np.ndarray:
+    most = z.max(1)
+    return most + np.log(np.exp(z - most[:, None]).sum(1))
+
+
+def train(pairs: np.ndarray, seed: int = SEED, steps: int = STEPS) -> np.ndarray:
+    """Pair counts (contexts x targets) to natural log probabilities of the same shape, each row normalised."""
+    hidden, q, bias = learn_core(pairs, seed, steps)
+    z = hidden @ q.T + bias
+    return z - log_normaliser(z)[:, None]
+
+
+def fit(word: np.ndarray, cls: np.ndarray, n: np.ndarray, core: np.ndarray, offset: np.ndarray, noise: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Vectors of words 0, 1, ... from their positives (word ascending, core class, count) by noise-contrastive estimation.
+
+    core @ vector + offset is the logit that a pair is no noise. noise: expected noise pairs by class for each positive. The
+    objective is concave; steps are scaled by its curvature at the prior's mean, and shortened where they don't raise it.
+    """
+    # in the axes of the noise's curvature
+    taken = 1 / (1 + np.exp(-(core @ mean + offset)))
+    curve, axes = np.linalg.eigh((core * (noise * taken * (1 - taken))[:, None]).T @ core)
+    core, mean, curve = core @ axes, mean @ axes, np.maximum(curve, 0)
+    out = np.empty((int(word[-1]) + 1, core.shape[1]))
+    softplus = lambda x: np.logaddexp(0, x)
+    for a in range(0, out.shape[0], FIT_BLOCK):
+        i, j = np.searchsorted(word, [a, a + FIT_BLOCK])
+        w, k, m = word[i:j] - a, cls[i:j], n[i:j].astype(np.float64)
+        start = np.flatnonzero(np.diff(w, prepend=-1))
+        total = np.add.reduceat(m, start)[:, None]
+        scale = PRIOR + total * curve
+
+        def look(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            s, z = np.einsum("ij,ij->i", core[k], v[w]) + offset[k], v @ core.T + offset
+            value = -np.add.reduceat(m * softplus(-s), start) - total[:, 0] * (softplus(z) @ noise) - PRIOR / 2 * ((v - mean) ** 2).sum(1)
+            slope = np.add.reduceat((m / (1 + np.exp(s)))[:, None] * core[k], start) - total * ((noise / (1 + np.exp(-z))) @ core) - PRIOR * (v - mean)
+            return value, slope
+
+        v = np.tile(mean, (start.size, 1))
+        value, slope = look(v)
+        rate = np.ones((start.size, 1))
+        for _ in range(FIT_STEPS):
+            new = v + rate * slope / scale
+            f, g = look(new)
+            better = f > value
+            v[better], value[better], slope[better] = new[better], f[better], g[better]
+            rate[~better] /= 4
+        out[a : a + start.size] = v
+    return out @ axes.T
+
+
+def alike(word: np.ndarray, cls: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each word's set of pairs, by number, and the sets."""
+    start = np.searchsorted(word, np.arange(words + 1))
+    rows = np.stack([cls, n], axis=1).astype(np.int64)
+    known: dict[bytes, int] = {}
+    index, first = np.empty(words, np.int32), []
+    for w, (a, b) in enumerate(zip(start[:-1].tolist(), start[1:].tolist())):
+        k = index[w] = known.setdefault(rows[a:b].tobytes(), len(known))
+        if k == len(first):
+            first.append(np.arange(a, b))
+    at = np.concatenate(first)
+    return index, (np.repeat(np.arange(len(first)), [x.size for x in first]), cls[at], n[at])
+
+
+def sparse(word: np.ndarray, cls: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cell, n = np.unique(word * wide + cls, return_counts=True)
+    return cell // wide, cell % wide, n
+
+
+def learn_rare(core: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: np.ndarray, rare_mass: float):
+    """Messages of a part's words outside the core to their counts and vectors (VECTORS), and what they add to the
+    normaliser of the class of others after each context (SHARES).
+
+    rare_mass: what the smoothed counts of all words outside the core sum to.
+    """
+    hidden, q, bias = core
+    contexts, targets = pairs.shape
+    other = targets - 2
+    unigram = smoothed(pairs)
+    before = pairs[:, other] / max(pairs[:, other].sum(), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: defaultdict[bytes, int] = defaultdict()
+        found.default_factory = found.__len__
+        me, got = None, []
+        for b in batches:
+            for p, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                me = p
+                _, _, words, times, _, prev, following = unpack_rare(data)
+                got.append(np.stack([np.repeat(np.array([found[w] for w in words]), times), prev, following]).astype(np.int32))
+        if me is None:
+            return
+        word, prev, following = np.concatenate(got, axis=1).astype(np.int64)
+        got.clear()
+        words = sorted(found)
+        turn = np.empty(len(words), np.int64)
+        turn[[found[w] for w in words]] = np.arange(len(words))
+        word = turn[word]
+        counts = np.bincount(word)
+        as_target, sets = alike(*sparse(word, prev, contexts), len(words))
+        q_rare = fit(*sets, hidden, np.full(contexts, -np.log(NOISE)), NOISE * before, np.zeros(DIM)).astype(np.float32)
+        as_context, sets = alike(*sparse(word, following, targets), len(words))
+        h_rare = fit(*sets, q, bias - np.log(NOISE * unigram), NOISE * unigram, hidden[other]).astype(np.float32)
+        norm = np.concatenate([log_normaliser(h_rare[a : a + FIT_BLOCK].astype(np.float64) @ q.T + bias) for a in range(0, len(h_rare), FIT_BLOCK)])
+        mass = np.bincount(as_target, (counts + ADD) / rare_mass, len(q_rare))
+        shares = sum(mass[a : a + FIT_BLOCK] @ np.exp(q_rare[a : a + FIT_BLOCK].astype(np.float64) @ hidden.T) for a in range(0, len(q_rare), FIT_BLOCK))
+        data = io.BytesIO()
+        np.savez(data, counts=counts, as_target=as_target, q=q_rare, as_context=as_context, h=h_rare, norm=norm, words=np.frombuffer(b" ".join(words), np.uint8))
+        yield _rows([(me, VECTORS, data.getvalue(), None, None), (me, SHARES, shares.tobytes(), None, None)])
+
+    return run
 
 
 def _row_part(uid: int, parts: int) -> int:
@@ -173,7 +368,8 @@ def _row_part(uid: int, parts: int) -> int:
 def score_texts(vocabulary: dict[bytes, int], base_in: np.ndarray, log_p: np.ndarray, ends: bool, parts: int):
     """(uid, doc_id, text) to sums of the tokens in the vocabulary (TEXTS) and rare words by part (RARE).
 
-    base_in: log10(c + ADD) of the vocabulary's words, 0, and of the end. uids count up by one in a partition.
+    base_in: log10(c + ADD) of the vocabulary's words, 0, and of the end. log_p: of a class after a class, less the log
+    normaliser of the words in the class of others. uids count up by one in a partition.
     """
     other = len(vocabulary)
 
@@ -183,22 +379,15 @@ def score_texts(vocabulary: dict[bytes, int], base_in: np.ndarray, log_p: np.nda
                 continue
             uid = b.column(0).to_numpy()
             own = b.column(1).to_pylist()
-            rare: defaultdict[bytes, int] = defaultdict()
-            rare.default_factory = rare.__len__
-            where, which = [], []
+            rare = RareWords(other)
             sums = np.zeros((4, b.num_rows))  # tokens, known in the vocabulary, base, model
             for k, t in enumerate(b.column(2)):
                 words = words_of(t.as_py())
                 ids = token_ids(words, vocabulary, other)
-                before = np.empty_like(ids)
-                before[0], before[1:] = other + 2, ids[:-1]
+                before = neighbours(ids, other)
                 inside = ids < other
                 sums[:, k] = ids.size, np.count_nonzero(inside) + ends, base_in[ids].sum(), log_p[before, ids].sum()
-                out = [rare[words[j]] for j in np.flatnonzero(ids == other).tolist()]
-                if out:
-                    w, n = np.unique(np.array(out), return_counts=True)
-                    where.append(np.full(w.size, k))
-                    which.append(np.stack([w, n]))
+                rare.add(k, words, ids, before)
             rows = []
             kept = [o is not None for o in own]
             held = np.array([held_out(o) for o in own])
@@ -207,39 +396,29 @@ def score_texts(vocabulary: dict[bytes, int], base_in: np.ndarray, log_p: np.nda
             for part in np.unique(block).tolist():
                 at = np.flatnonzero(block == part)
                 rows.append((part, TEXTS, struct.pack("<i", at.size) + uid[at].tobytes() + ids[at].tobytes() + sums[:, at].tobytes() + (np.array(kept)[at] + 2 * held[at]).astype(np.uint8).tobytes(), None, None))
-            if rare:
-                words = list(rare)
-                doc = np.concatenate(where)
-                wid, freq = np.concatenate(which, axis=1)
-                dealt = np.array([_part(w, parts) for w in words])
-                order = np.lexsort((doc, wid, dealt[wid]))
-                doc, wid, freq = doc[order], wid[order], freq[order]
-                cut = np.flatnonzero(np.diff(dealt[wid])) + 1
-                for d, w, f in zip(np.split(doc, cut), np.split(wid, cut), np.split(freq, cut)):
-                    new = np.flatnonzero(np.diff(w, prepend=-1))
-                    docs = np.diff(np.append(new, w.size))
-                    kind = np.uint16 if b.num_rows < 65536 else np.uint32
-                    size = np.uint8 if f.max() < 256 else np.uint32
-                    head = struct.pack("<qiiiBB", int(uid[0]), b.num_rows, new.size, w.size, np.dtype(kind).itemsize, np.dtype(size).itemsize)
-                    rows.append((int(dealt[w[0]]), RARE, head + docs.astype(np.uint32).tobytes() + d.astype(kind).tobytes() + f.astype(size).tobytes() + b" ".join(words[i] for i in w[new].tolist()), None, None))
-            yield _rows(rows)
+            yield _rows(rows + rare.messages(parts, int(uid[0]), b.num_rows))
 
     return run
 
 
-def meet_counts(parts: int):
-    """Counts and rare words of a part to sums by row, dealt by row; other messages pass."""
+def meet_vectors(parts: int, core: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """Vectors and words outside the core of a part to sums by row, dealt by row; other messages pass."""
+    hidden, q, bias = core
+    other = len(bias) - 2
+    usual = hidden[other] @ q.T + bias
+    usual = usual - log_normaliser(usual[None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        at: dict[bytes, int] = {}
         waiting: list[bytes] = []
         me = None
         for b in batches:
             passed = []
             for p, kind, data in zip(*(b.column(k).to_pylist() for k in (0, 1, 2))):
-                if kind == COUNTS:
-                    ws, ns = unpack_counts(data)
-                    counts.update(zip(ws, ns.tolist()))
+                if kind == VECTORS:
+                    z = np.load(io.BytesIO(data))
+                    counts, as_target, q_rare, as_context, h_rare, norm = (z[k] for k in ("counts", "as_target", "q", "as_context", "h", "norm"))
+                    at = {w: i for i, w in enumerate(z["words"].tobytes().split(b" "))}
                 elif kind == RARE:
                     waiting.append(data)
                     me = p
@@ -247,25 +426,23 @@ def meet_counts(parts: int):
                     passed.append((p, kind, data, None, None))
             yield _rows(passed)
         for data in waiting:
-            first, rows, n_words, n, a, c = struct.unpack_from("<qiiiBB", data)
-            at = struct.calcsize("<qiiiBB")
-            docs = np.frombuffer(data, np.uint32, n_words, at)
-            at += 4 * n_words
-            doc = np.frombuffer(data, {2: np.uint16, 4: np.uint32}[a], n, at).astype(np.int64)
-            at += a * n
-            freq = np.frombuffer(data, {1: np.uint8, 4: np.uint32}[c], n, at).astype(np.float64)
-            seen = np.fromiter((counts.get(w, 0) for w in data[at + c * n :].split(b" ")), np.float64, n_words)
-            each = np.repeat(np.arange(n_words), docs)
-            base = np.bincount(doc, freq * np.log10(seen + ADD)[each], rows)
-            known = np.bincount(doc, freq * (seen > 0)[each], rows)
-            rare = np.bincount(doc, freq, rows)
+            first, rows, words, times, doc, prev, following = unpack_rare(data)
+            own = np.repeat(np.array([at.get(w, -1) for w in words]), times)
+            seen = own >= 0
+            base, extra = np.full(own.size, np.log10(ADD)), np.zeros(own.size)
+            if seen.any():
+                i, k, t = own[seen], prev[seen], following[seen]
+                base[seen] = np.log10(counts[i] + ADD)
+                c = as_context[i]
+                extra[seen] = np.einsum("ij,ij->i", hidden[k], q_rare[as_target[i]]) + np.einsum("ij,ij->i", h_rare[c], q[t]) + bias[t] - norm[c] - usual[t]
+            base, known, rare, extra = (np.bincount(doc, x, rows) for x in (base, seen, np.ones(own.size), extra / np.log(10)))
             some = np.flatnonzero(rare)
             uid = first + some
             block = np.array([_row_part(u, parts) for u in uid.tolist()])
             out = []
             for part in np.unique(block).tolist():
                 x = some[block == part]
-                out.append((part, SUMS, struct.pack("<ii", me, x.size) + (first + x).tobytes() + base[x].tobytes() + known[x].astype(np.float32).tobytes() + rare[x].astype(np.float32).tobytes(), None, None))
+                out.append((part, SUMS, struct.pack("<ii", me, x.size) + (first + x).tobytes() + base[x].tobytes() + extra[x].tobytes() + known[x].astype(np.float32).tobytes() + rare[x].astype(np.float32).tobytes(), None, None))
             yield _rows(out)
 
     return run
@@ -286,24 +463,24 @@ def add_up(total: int, log_all: float, log_rare: float):
                     texts.append((np.frombuffer(data, np.int64, n, 4), np.frombuffer(data, np.int64, n, 4 + 8 * n), np.frombuffer(data, np.float64, 4 * n, 4 + 16 * n).reshape(4, n), np.frombuffer(data, np.uint8, n, 4 + 48 * n)))
                 else:
                     me, n = struct.unpack_from("<ii", data)
-                    parts.append((np.frombuffer(data, np.int64, n, 8), np.full(n, me), np.frombuffer(data, np.float64, n, 8 + 8 * n), np.frombuffer(data, np.float32, n, 8 + 16 * n), np.frombuffer(data, np.float32, n, 8 + 20 * n)))
+                    parts.append((np.frombuffer(data, np.int64, n, 8), np.full(n, me), np.frombuffer(data, np.float64, n, 8 + 8 * n), np.frombuffer(data, np.float64, n, 8 + 16 * n), np.frombuffer(data, np.float32, n, 8 + 24 * n), np.frombuffer(data, np.float32, n, 8 + 28 * n)))
         if not texts:
             return
         uid, own, flags = (np.concatenate([t[k] for t in texts]) for k in (0, 1, 3))
         tokens, known, base, model = np.concatenate([t[2] for t in texts], axis=1)
         order = np.argsort(uid)
         if parts:
-            u, me, more, seen, rare = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            u, me, more, extra, seen, rare = (np.concatenate([p[k] for p in parts]) for k in range(6))
             turn = np.lexsort((me, u))
             row = order[np.searchsorted(uid[order], u[turn])]
-            more = np.bincount(row, more[turn].astype(np.float64), uid.size)
+            more, extra = np.bincount(row, more[turn], uid.size), np.bincount(row, extra[turn], uid.size)
             known = known + np.bincount(row, seen[turn].astype(np.float64), uid.size)
             rare = np.bincount(row, rare[turn].astype(np.float64), uid.size)
         else:
-            more = rare = np.zeros(uid.size)
+            more = extra = rare = np.zeros(uid.size)
         whole = lambda x: pa.array(np.rint(x).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(own, mask=flags & 1 == 0), pa.array(flags & 2 > 0), whole(tokens), whole(known), pa.array(np.full(uid.size, total)), pa.array(base + more - tokens * log_all), pa.array(model + more - rare * log_rare)],
+            [pa.array(own, mask=flags & 1 == 0), pa.array(flags & 2 > 0), whole(tokens), whole(known), pa.array(np.full(uid.size, total)), pa.array(base + more - tokens * log_all), pa.array(model + more + extra - rare * log_rare)],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
@@ -335,12 +512,20 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     pairs = pairs.reshape(shape)
     ends = int(pairs[:, -1].sum())
     tokens, kinds = sums.get(TOTAL, 0) + ends, sums.get(KINDS, 0) + (ends > 0)
-    log_p = train(pairs) / np.log(10)
+    core = learn_core(pairs)
+    z = core[0] @ core[1].T + core[2]
+    log_p = z - log_normaliser(z)[:, None]
     base_in = np.concatenate([np.log10(np.array([n for _, n in top], np.float64) + ADD), [0.0, np.log10(ends + ADD)]])
     log_all = float(np.log10(tokens + ADD * (kinds + 1)))
     rare = sums.get(TOTAL, 0) - sum(n for _, n in top)
-    log_rare = float(np.log10(rare + ADD * (sums.get(KINDS, 0) - len(top) + 1)))
+    mass = rare + ADD * (sums.get(KINDS, 0) - len(top) + 1)
+    log_rare = float(np.log10(mass))
+
+    learned = checkpointed(dealt(texts.mapInArrow(rare_pairs(vocabulary, parts), ROWS_SQL)).mapInArrow(learn_rare(core, pairs, mass), ROWS_SQL))
+    shares = [np.frombuffer(r["payload"]) for r in learned.where(F.col("kind") == SHARES).orderBy("part").select("payload").collect()]
+    log_p[:, len(top)] -= np.log(sum(shares, np.full(shape[0], ADD / mass)))
+    log_p /= np.log(10)
 
     scored = texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(score_texts(vocabulary, base_in, log_p, ends > 0, parts), ROWS_SQL)
-    met = dealt(scored.unionByName(counted.where(F.col("kind") == COUNTS))).mapInArrow(meet_counts(parts), ROWS_SQL)
+    met = dealt(scored.unionByName(learned.where(F.col("kind") == VECTORS))).mapInArrow(meet_vectors(parts, core), ROWS_SQL)
     return dealt(met).mapInArrow(add_up(tokens, log_all, log_rare), RESULT)

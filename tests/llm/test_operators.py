@@ -402,6 +402,35 @@ def test_lm_beats_its_base_and_is_normalised(spark, monkeypatch):
     assert np.allclose(p.sum(1), 1)
 
 
+def test_lm_words_outside_the_core_have_contexts(spark, monkeypatch):
+    """x follows a and y follows b, and c follows x and d follows y; x and y are as frequent and both outside the core."""
+    monkeypatch.setattr(lm, "WORDS", 4)
+    learned = [i for i in range(300) if brute.crc(i) % 10]
+    held = [i for i in range(300, 600) if brute.crc(i) % 10 == 0][:2]
+    rows = [(i, "a x c " * 9 + "b y d " * 9) for i in learned] + [(held[0], "a x c b y d"), (held[1], "a y c b x d")]
+    for i in range(2):  # fillers make the core's words the most frequent
+        rows += [(k, "a b c d " * 3) for k in learned]
+    r = {x.doc_id: x for x in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.doc_id in held}
+    right, wrong = r[held[0]], r[held[1]]
+    assert right.base_score == pytest.approx(wrong.base_score) and right.score > wrong.score + 1
+
+
+def test_lm_is_normalised_over_all_words(spark, monkeypatch):
+    """Texts of at most two tokens give P(word | start) by P(end | u) + sum over v of P(v | u) = 1; these must sum to one too."""
+    monkeypatch.setattr(lm, "WORDS", 3)
+    r = random.Random(5)
+    learned = [i for i in range(200) if brute.crc(i) % 10][:80]
+    rows = [(i, " ".join(r.choice("abc") if r.random() < 0.5 else f"w{r.randrange(9)}" for _ in range(r.randrange(9)))) for i in learned]
+    words = sorted({w for _, t in rows for w in t.split()}) + ["unseen"]
+    asked = ["", *words, *[f"{u} {v}" for u in words for v in words]]
+    held = [i for i in range(200, 20000) if brute.crc(i) % 10 == 0][: len(asked)]
+    got = {x.doc_id: x.score for x in lm.lm_scores(spark.createDataFrame([*rows, *zip(held, asked)], "doc_id long, text string")).collect()}
+    p = 10 ** np.array([got[i] for i in held])
+    one, two = p[1 : 1 + len(words)], p[1 + len(words) :].reshape(len(words), -1)
+    start = np.linalg.solve(np.eye(len(words)) - two / one, one)
+    assert len(words) == 13 and (start > 0).all() and start.sum() + p[0] == pytest.approx(1, abs=1e-5)
+
+
 def test_lm_without_training_rows(spark):
     i = next(k for k in range(1000) if brute.crc(k) % 10 == 0)
     (r,) = lm.lm_scores(spark.createDataFrame([(i, "a b")], "doc_id long, text string")).collect()
