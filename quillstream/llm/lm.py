@@ -35,7 +35,8 @@ from quillstream.runtime import checkpointed, ship
 
 ADD, WORDS, HELD_OUT = 0.1, 512, 10
 DIM, NOISE, STEPS, RATE, SEED = 24, 25, 200, 0.05, 10
-PRIOR, FIT_STEPS, FIT_BLOCK = 1.0, 12, 2048
+PRIOR, FIT_STEPS, FIT_BLOCK = 1.0, 12, 1024
+SETTLED = 1e-3  # nats that a step still changes a word's objective by
 PARTITION = 24 << 20  # text bytes a partition
 ROW_BLOCK = 1024
 
@@ -266,35 +267,51 @@ def fit(word: np.ndarray, cls: np.ndarray, n: np.ndarray, core: np.ndarray, offs
     core @ vector + offset is the logit that a pair is no noise. noise: expected noise pairs by class for each positive. The
     objective is concave; steps are scaled by its curvature at the prior's mean, and shortened where they don't raise it.
     """
-    # in the axes of the noise's curvature
+    # in the axes of the noise's curvature; single precision, as the vectors are kept
     taken = 1 / (1 + np.exp(-(core @ mean + offset)))
     curve, axes = np.linalg.eigh((core * (noise * taken * (1 - taken))[:, None]).T @ core)
-    core, mean, curve = core @ axes, mean @ axes, np.maximum(curve, 0)
-    out = np.empty((int(word[-1]) + 1, core.shape[1]))
-    softplus = lambda x: np.logaddexp(0, x)
-    for a in range(0, out.shape[0], FIT_BLOCK):
-        i, j = np.searchsorted(word, [a, a + FIT_BLOCK])
-        w, k, m = word[i:j] - a, cls[i:j], n[i:j].astype(np.float64)
-        start = np.flatnonzero(np.diff(w, prepend=-1))
-        total = np.add.reduceat(m, start)[:, None]
-        scale = PRIOR + total * curve
-
-        def look(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            s, z = np.einsum("ij,ij->i", core[k], v[w]) + offset[k], v @ core.T + offset
-            value = -np.add.reduceat(m * softplus(-s), start) - total[:, 0] * (softplus(z) @ noise) - PRIOR / 2 * ((v - mean) ** 2).sum(1)
-            slope = np.add.reduceat((m / (1 + np.exp(s)))[:, None] * core[k], start) - total * ((noise / (1 + np.exp(-z))) @ core) - PRIOR * (v - mean)
-            return value, slope
-
-        v = np.tile(mean, (start.size, 1))
-        value, slope = look(v)
-        rate = np.ones((start.size, 1))
+    core, mean, curve, offset, noise = (x.astype(np.float32) for x in (core @ axes, mean @ axes, np.maximum(curve, 0), offset, noise))
+    across = np.ascontiguousarray(core.T)
+    words = int(word[-1]) + 1
+    start = np.searchsorted(word, np.arange(words + 1))
+    out = np.tile(mean, (words, 1))
+
+    def look(at: np.ndarray, total: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The objective of words at vectors v, and its slope."""
+        size = start[at + 1] - start[at]
+        first = np.cumsum(size) - size
+        pos = np.repeat(start[at] - first, size) + np.arange(size.sum())
+        m, near = n[pos].astype(np.float32), core[cls[pos]]
+        odds = np.exp(np.minimum((near * np.repeat(v, size, axis=0)).sum(1) + offset[cls[pos]], 80))
+        value = np.add.reduceat(m * np.log(odds / (1 + odds)), first)
+        slope = np.add.reduceat((m / (1 + odds))[:, None] * near, first)
+        z = v @ across
+        z += offset
+        np.exp(np.minimum(z, 80, out=z), out=z)
+        odds = z + 1
+        np.divide(z, odds, out=z)
+        z *= noise
+        np.log(odds, out=odds)
+        off = v - mean
+        return value - total[:, 0] * (odds @ noise) - PRIOR / 2 * (off * off).sum(1), slope - total * (z @ core) - PRIOR * off
+
+    for a in range(0, words, FIT_BLOCK):
+        at = np.arange(a, min(a + FIT_BLOCK, words))
+        total = np.add.reduceat(n[start[a] : start[at[-1] + 1]], start[at] - start[a]).astype(np.float32)[:, None]
+        v, rate = out[at], np.ones((at.size, 1), np.float32)
+        value, slope = look(at, total, v)
         for _ in range(FIT_STEPS):
-            new = v + rate * slope / scale
-            f, g = look(new)
-            better = f > value
+            new = v + rate * slope / (PRIOR + total * curve)
+            f, g = look(at, total, new)
+            gain = f - value
+            better = gain > 0
             v[better], value[better], slope[better] = new[better], f[better], g[better]
             rate[~better] /= 4
-        out[a : a + start.size] = v
+            out[at] = v
+            going = np.abs(gain) > SETTLED
+            if not going.any():
+                break
+            at, total, v, rate, value, slope = at[going], total[going], v[going], rate[going], value[going], slope[going]
     return out @ axes.T
 
 
