@@ -156,28 +156,46 @@ def store(payload: bytes) -> bytes:
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+MEDIA = "doc_id long, n_bytes long, media binary, tile binary, feature string"
+
+
+def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for t in b.column(1):
             n, payload = payload_of(t.as_py())
             media = store(payload)
             img = decode(media)
-            back = img.tobytes()
-            out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(img):016x}", hashlib.sha256(npy_tile(img)).hexdigest()))
+            out.append((n, media, npy_tile(img), f"{difference_hash(img):016x}"))
+        cols = list(zip(*out)) or [()] * 4
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.string()]
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_bytes", "media", "tile", "feature"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for n, media, tile, feature in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4))):
+            back = decode(media).tobytes()
+            out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, hashlib.sha256(tile).hexdigest()))
         cols = list(zip(*out)) or [()] * 8
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"])
 
 
-def media_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as a PPM image 64 pixels wide, read back: one row per row of docs, columns of SCHEMA.
+def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text as a PPM file 64 pixels wide: one row per row of docs, columns of MEDIA.
 
-    feature is the difference hash of the image read back; tile_sha256 that of its NPY tile. Null texts count as empty;
-    a text of any length is one image. Repeated rows come out repeated, an empty table gives an empty result.
+    tile is the NPY tile and feature the difference hash of the image read back. Null texts count as empty; a text of any
+    length is one image. Repeated rows come out repeated, an empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_rows, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_media, MEDIA)
+
+
+def media_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Digests of text_media, the files read back: one row per row of docs, columns of SCHEMA."""
+    return text_media(docs, id_col=id_col, text_col=text_col).mapInArrow(_digests, SCHEMA)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import random
 import zlib
 
@@ -437,6 +438,19 @@ def test_lm_without_training_rows(spark):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and r.base_score == pytest.approx(0)
 
 
+# Outputs whose digests the queries give
+
+
+def test_text_media_gives_the_files(docs):
+    digests = sorted(map(tuple, media.media_features(docs).select("doc_id", "n_bytes", "media_sha256", "feature", "tile_sha256").collect()), key=repr)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = media.text_media(docs).collect()
+    assert sorted(((r.doc_id, r.n_bytes, sha(r.media), r.feature, sha(r.tile)) for r in got), key=repr) == digests
+    texts = sorted(media.decode(bytes(r.media)).tobytes()[: r.n_bytes] for r in got)
+    assert texts == sorted((t or "").encode() for _, t, _ in ROWS)
+    assert all(np.load(io.BytesIO(r.tile)).shape[:2] == (16, 16) for r in got)
+
+
 # All
 
 
