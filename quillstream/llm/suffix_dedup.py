@@ -18,7 +18,6 @@ windows are compared and not what is found); their windows are dealt one by one,
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 from itertools import repeat
@@ -385,19 +384,19 @@ def sort_blocks(parts: int):
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+CLEANED = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
 
 
-def cut(text: bytes, flags: list[np.ndarray] | None) -> tuple[int, int, bytes]:
-    """Bytes removed, maximal runs of them, bytes that remain; flags: (first window, windows)."""
+def cut(text: bytes, flags: list[np.ndarray] | None) -> tuple[np.ndarray, bytes]:
+    """Maximal runs of removed bytes, as rows (start, stop), and the bytes that remain; flags: (first window, windows)."""
     if flags is None:
-        return 0, 0, text
+        return np.zeros((0, 2), np.int64), text
     start, width = flags
     n = len(text)
     edge = np.bincount(start, minlength=n + 1) - np.bincount(start + width + LENGTH - 1, minlength=n + 1)
     gone = np.cumsum(edge[:n]) > 0
-    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-    return int(np.count_nonzero(gone)), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
+    runs = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    return runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,10 +412,11 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found is None:
                 found, rows = _per_document(rows, 0), []
             raw = text.encode()
-            removed, runs, kept = cut(raw, found.get((own, int(_text_keys([raw])[0]))))
-            out.append((own if had else None, len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
-        cols = list(zip(*out)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            runs, kept = cut(raw, found.get((own, int(_text_keys([raw])[0]))))
+            out.append((own if had else None, len(raw), [{"start": a, "stop": b} for a, b in runs.tolist()], kept))
+        cols = list(zip(*out)) or [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "spans", "kept"])
 
 
 def frequent_anchors(texts: DataFrame) -> np.ndarray:
@@ -439,8 +439,10 @@ def frequent_anchors(texts: DataFrame) -> np.ndarray:
     return np.sort(most["anchor"].to_numpy(np.int64).view(np.uint64))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def clean_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, the spans of bytes removed, and the bytes kept.
+
+    A span can begin or end inside a character, so what is kept is bytes.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a row with a smaller doc_id. Null texts count as
     empty; a null doc_id counts as larger than any other; rows with equal ids don't affect each other, so of repeated rows
@@ -469,4 +471,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if not opened.isEmpty():
         strings = checkpointed(with_texts(opened).mapInArrow(open_bytes(parts), ROWS_SQL))
         flags = flags.unionByName(checkpointed(dealt(strings).mapInArrow(sort_blocks(parts), ROWS_SQL)))
-    return with_texts(flags).mapInArrow(finish, RESULT)
+    return with_texts(flags).mapInArrow(finish, CLEANED)
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """Digests of clean_texts, one row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    c = clean_texts(docs, id_col=id_col, text_col=text_col, parts=parts)
+    return c.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -451,6 +451,16 @@ def test_text_media_gives_the_files(docs):
     assert all(np.load(io.BytesIO(r.tile)).shape[:2] == (16, 16) for r in got)
 
 
+def test_clean_texts_gives_texts_and_spans(spark):
+    p = prose(20)
+    rows = [(1, "one " + p + " end"), (2, "another " + p + " tail"), (3, None)]
+    raw = {i: (t or "").encode() for i, t in rows}
+    got = {r.doc_id: r for r in suffix_dedup.clean_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [len(got[i].spans) for i in (1, 2, 3)] == [0, 1, 0] and bytes(got[1].kept) == raw[1] and bytes(got[3].kept) == b""
+    (s,) = got[2].spans
+    assert p.encode() in raw[2][s.start : s.stop] and bytes(got[2].kept) == raw[2][: s.start] + raw[2][s.stop :]
+
+
 # All
 
 
