@@ -90,3 +90,9 @@ def test_pipeline(spark, sf, table):
     a, b = stages["bpe"]
     assert len(a) == len(b) and sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in a) == sorted(r.decoded_sha256 for r in b)
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, b))
+
+
+def test_pipeline_ends_in_token_ids(spark, sf):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    for r in corpus_pipeline.tokenise(spark, docs, sf).collect():
+        assert len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256
