@@ -370,6 +370,50 @@ def test_bpe_automaton_by_hand():
     assert a.path(b"aaa") == [256, 97] and a.path(b"abc") == [97, 257] and a.path(b"ab") == [258] and a.path(b"aab") == [256, 98] and a.path(b"aaab") == [256, 258]
 
 
+def by_merging(word: bytes, merges: list[tuple[bytes, bytes]]) -> list[bytes]:
+    """The pair of the earliest merge, leftmost first, until none is left."""
+    rank = {}
+    for k, m in enumerate(merges):
+        rank.setdefault(m, k)
+    out = [bytes([b]) for b in word]
+    while True:
+        best = min(((rank[p], i) for i, p in enumerate(zip(out, out[1:])) if p in rank), default=None)
+        if best is None:
+            return out
+        i = best[1]
+        out[i : i + 2] = [out[i] + out[i + 1]]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_bpe_automata_of_random_merges(seed):
+    """Also with merges that never come to pass, as earlier ones take their pairs."""
+    r = random.Random(seed)
+    tokens, merges = [b"a", b"b", b"c"], []
+    for _ in range(40):
+        u, v = r.choice(tokens), r.choice(tokens)
+        if len(u + v) <= 7 and u + v not in tokens:
+            merges.append((u, v))
+            tokens.append(u + v)
+    ids = {bytes([b]): b for b in range(256)}
+    for t in tokens[3:]:
+        ids[t] = len(ids)
+    a = bpe.Automaton(merges, ids, {})
+    words = [bytes(r.choice(b"abc") for _ in range(r.randint(1, 24))) for _ in range(300)]
+    want = [[ids[t] for t in by_merging(w, merges)] for w in words]
+    assert [a.path(w) for w in words] == want
+    assert a.encode_words(words) == [np.array(w, "<u4").tobytes() for w in want]
+
+
+def test_bpe_of_long_unbroken_words(tokenizer, monkeypatch):
+    """In time linear in the word: a million characters take seconds."""
+    with open(bpe.default_path()) as f:
+        a = bpe.compile_automaton(f.read())
+    monkeypatch.setattr(bpe, "BLOCK", 70_000)
+    for s in ("漢字仮名" * 30_000, "ab" * 50_000 + "c", "".join(random.choice("etaoinshr") for _ in range(200_000))):
+        assert a.encode(s) == np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+    assert a.decode(a.encode("q" * 1_000_000)) == b"q" * 1_000_000
+
+
 # 10
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -57,6 +58,22 @@ def test_pii(spark, sf, table):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
 
 
+def test_bpe(spark, sf, table):
+    """The query's output against the library."""
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from quillstream.llm import bpe
+
+    t = Tokenizer.from_file(bpe.default_path())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {}
+    for i, text, _ in table:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want[i] = (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t.decode(ids, skip_special_tokens=False).encode()))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op9_bpe(spark, sf).collect()} == want
+
+
 def test_pipeline(spark, sf, table):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
