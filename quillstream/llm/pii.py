@@ -7,6 +7,8 @@ run whose start has already failed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+SSN = r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"
+#: Lengths of IBANs by country.
+COUNTRIES = {15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_IBANS = "(?:" + "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in COUNTRIES.items()) + ")"
+IBAN = f"(?<![A-Za-z0-9_]){_IBANS}(?![A-Za-z0-9_])"
 
 #: kind, pattern, what a text must contain to have a match, score of a confirmed span, words that raise it
 KINDS = (
@@ -70,30 +75,52 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+#: Spans are placed in runs of RUN: a span's place is the sum over the runs before, and over those before it in its run.
+RUN = 128
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is evaluated once and not at each place (inside a lambda, for every element)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def proposed(t: Column, at: int) -> Column:
-    """array<struct<start, ord, end, match>> of one kind; code points, end exclusive."""
+    """array<struct<start, ord, end, m, near>> of one kind; code points, end exclusive.
+
+    near: up to CONTEXT characters before a span, a line feed, and up to CONTEXT after it, none from other spans of the kind.
+    """
     _, pattern, needs, _, _ = KINDS[at]
     found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(t, pattern, -1), F.length)
-    both = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.element_at(gaps, i + 1).alias("g"), F.length(m).alias("l")))
-    empty = F.array().cast("array<struct<start:int,ord:int,end:int,m:string>>")
+    empty = F.array().cast("array<struct<start:int,ord:int,end:int,m:string,near:string>>")
+
+    def pieces(gaps: Column) -> Column:
+        parts = F.zip_with(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), F.slice(gaps, F.lit(2), F.size(gaps)), lambda p, a: F.struct(p["m"].alias("m"), F.length(p["m"]).alias("n"), F.length(p["g"]).alias("g"), F.concat(F.right(p["g"], F.lit(CONTEXT)), F.lit("\n"), F.left(a, F.lit(CONTEXT))).alias("near")))
+        return F.filter(parts, lambda x: x["m"].isNotNull())  # there is one gap more
+
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["g"] + x["n"])
+    runs = lambda every: F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / RUN).cast("int")), lambda k: F.slice(every, k * RUN + 1, F.lit(RUN)))
+
+    def place(run: Column, before: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            return bound(before + total(F.slice(run, F.lit(1), i)) + x["g"], lambda start: F.struct(start.alias("start"), F.lit(at).alias("ord"), (start + x["n"]).alias("end"), x["m"].alias("m"), x["near"].alias("near")))
+
+        return F.transform(run, one)
 
-    def place(acc: Column, x: Column) -> Column:
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["g"]
-        return F.concat(acc, F.array(F.struct(start.cast("int").alias("start"), F.lit(at).alias("ord"), (start + x["l"]).cast("int").alias("end"), x["m"].alias("m"))))
+    def placed(rs: Column) -> Column:
+        sums = F.transform(rs, total)
+        return bound(sums, lambda s: F.flatten(F.transform(rs, lambda r, k: bound(F.aggregate(F.slice(s, F.lit(1), k), F.lit(0), lambda x, y: x + y), lambda before: place(r, before)))))
 
-    spans = F.aggregate(both, empty, place)
+    spans = bound(F.split(t, pattern, -1), lambda gaps: bound(pieces(gaps), lambda every: F.when(F.size(every) > 0, bound(runs(every), placed)).otherwise(empty)))
     return F.when(F.contains(t, F.lit(needs)), spans).otherwise(empty) if needs else F.when(F.regexp_like(t, F.lit(pattern)), spans).otherwise(empty)
 
 
 def rated(at: int) -> Column:
-    """The confirmed spans of one kind in column p_<kind> of texts t, as array<struct<start, ord, end, score>>."""
+    """The confirmed spans of one kind in column p_<kind>, as array<struct<start, ord, end, score>>."""
     kind, _, _, score, words = KINDS[at]
     told = F.lit("(?:^|[^a-z0-9])(?:" + "|".join(words) + ")")
 
     def rate(s: Column) -> Column:
-        near = F.lower(F.substring(F.col("t"), F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))))
-        value = F.when(F.regexp_like(near, told), F.lit(min(1.0, score + RAISE))).otherwise(F.lit(score))
+        value = F.when(F.regexp_like(F.lower(s["near"]), told), F.lit(min(1.0, score + RAISE))).otherwise(F.lit(score))
         return F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), value.alias("score"))
 
     spans = F.transform(F.filter(F.col(f"p_{kind}"), lambda s: confirmed(kind, s["m"])), rate)
@@ -103,9 +130,11 @@ def rated(at: int) -> Column:
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores.
 
-    The base spans (email, ip, card, phone) always stay. The method adds IBANs that pass mod-97, and numbers of the form
-    of a social security number if a context word stands within CONTEXT characters before them (score of THRESHOLD or
-    more); their overlap with base spans is allowed. A null text counts as empty; repeated rows come out repeated.
+    The base spans (email, ip, card, phone) always stay. The method adds IBANs of their country's length that pass mod-97,
+    and numbers of the form of a social security number if a context word stands within CONTEXT characters around them
+    (score of THRESHOLD or more); their overlap with base spans is allowed. A null text counts as empty and has no spans; a
+    text of any length is searched whole, in linear time; repeated rows come out repeated; other columns don't matter. An
+    empty table gives an empty result.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col).alias("doc_id"), t.alias("t")).select("doc_id", "t", *[proposed(F.col("t"), k).alias(f"p_{kind}") for k, (kind, *_) in enumerate(KINDS)])
@@ -128,7 +157,7 @@ _SQL_PATTERNS = {
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+    "iban": rf"\b{_IBANS}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -150,11 +179,11 @@ def oracle_sql() -> str:
     parts = []
     for k, (kind, _, _, score, words) in enumerate(KINDS):
         pattern = _SQL_PATTERNS[kind]
-        near = f"lower(substr(t, greatest(s - {CONTEXT}, 0) + 1, least(s, {CONTEXT})))"
+        near = f"lower(right(b, {CONTEXT}) || chr(10) || left(a, {CONTEXT}))"
         told = f"CASE WHEN regexp_matches({near}, '(?:^|[^a-z0-9])(?:{'|'.join(words)})') THEN {min(1.0, score + RAISE)}::DOUBLE ELSE {score}::DOUBLE END"
-        found = f"""SELECT r, t, m, s, s + length(m) AS e FROM (
-  SELECT r, t, ms[i] AS m, list_sum(list_transform(gs[1:i], lambda x: length(x)))::BIGINT + COALESCE(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
-  FROM (SELECT r, t, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d)))"""
+        found = f"""SELECT r, m, b, a, s, s + length(m) AS e FROM (
+  SELECT r, ms[i] AS m, gs[i] AS b, gs[i + 1] AS a, list_sum(list_transform(gs[1:i], lambda x: length(x)))::BIGINT + COALESCE(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+  FROM (SELECT r, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d)))"""
         parts.append(f"SELECT r, {k} AS o, '{kind}' AS kind, s, e, {told} AS score FROM ({found}) WHERE {_SQL_CHECKS[kind]}")
     spans = " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
     base = ", ".join(f"COALESCE(n_{k}, 0) AS n_{k}" for k in BASE)

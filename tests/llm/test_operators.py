@@ -330,6 +330,32 @@ def test_pii_on_noise(spark, seed):
         assert x.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), rows[x.doc_id][1]
 
 
+IBAN = "GB82 WEST 1234 5698 7654 32"
+HARD = [f"{IBAN} The rest", f"iban {IBAN} OK", f"_{IBAN}", f"{IBAN}7", f"x{IBAN}", f"DE89370400440532013000,{IBAN}", "ssn a123-45-6789", "_123-45-6789 ssn", "12-123-45-6789-0 ssn", "123-45-6789 is my ssn", "social 123-45-6789123-45-6789", "ssn 123-45-6789, 123-45-6789"]
+
+
+def test_pii_equals_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [*enumerate(PII_TEXTS + HARD)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = con.sql(pii.oracle_sql())
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    spans = {r.doc_id - len(PII_TEXTS): r.spans for r in got.collect()}
+    assert [spans[0], spans[1], spans[6], spans[9]] == ["iban:0:27", "iban:5:32", "", "ssn:0:11"]
+
+
+def test_pii_many_matches_in_a_text(spark):
+    n = 20_000
+    df = spark.createDataFrame([(1, "ab@c.de é " * n + "1.2.3.4 " * n)], "doc_id long, text string")
+    (r,) = pii.find_pii(df).collect()
+    want = [f"email:{10 * k}:{10 * k + 7}" for k in range(n)] + [f"ip:{10 * n + 8 * k}:{10 * n + 8 * k + 7}" for k in range(n)]
+    assert r.spans == ",".join(want) and (r.n_email, r.n_ip) == (n, n)
+
+
 # 9
 
 
