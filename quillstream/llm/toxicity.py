@@ -12,7 +12,6 @@ window is followed by a constant tail that both dictionaries hold.
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections import Counter
@@ -26,11 +25,11 @@ from pyspark.sql import functions as F
 
 from quillstream.runtime import ship
 
-#: At most so many labelled rows of each class are learned from, chosen by a hash of their ids.
-TOXIC_ROWS, ORDINARY_ROWS = 1_500, 3_000
+#: At most so many labelled rows of each class are learned from, chosen by a hash of their ids, none longer than ROW_BYTES.
+TOXIC_ROWS, ORDINARY_ROWS, ROW_BYTES = 1_500, 3_000, 16 << 10
 HELD_OUT, HELD_OUT_REST, CUT = 4, 2, 0.3
 WINDOW, SHORTEST, LONGEST, PER_ROW = 6, 6, 10, 6
-COMMON, TOXIC_BYTES, LEAST_SHARE, RATIO, CANDIDATES = 300, 600, 0.1, 3, 20_000
+COMMON, TOXIC_BYTES, LEAST_SHARE, RATIO = 300, 600, 0.1, 3
 TAIL, GAP = bytes(range(128, 192)), b"\0"
 
 
@@ -67,7 +66,7 @@ def rates(rows: list[str], only: dict[bytes, float] | None = None) -> dict[bytes
 
 def distinctive(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Strings that toxic rows have far oftener, the best first; none within another."""
-    many = dict(heapq.nlargest(CANDIDATES, rates(toxic).items(), key=lambda x: (x[1], x[0])))
+    many = rates(toxic)
     few = rates(ordinary, many)
     scored = []
     for g, p in many.items():
@@ -148,7 +147,11 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """From labelled rows outside the held-out part. Ids with several labels count as toxic if one says so."""
+    """From labelled rows outside the held-out part. Ids with several labels count as toxic if one says so.
+
+    What comes to the driver is TOXIC_ROWS + ORDINARY_ROWS texts of ROW_BYTES at most, however often an id repeats. Null
+    texts count as empty; labels with a null id or value aren't used; without rows of a class every score is a constant.
+    """
     told = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     told = told.where(F.crc32(F.col("i").cast("string").cast("binary")) % HELD_OUT != HELD_OUT_REST).withColumn("o", F.xxhash64("i"))
     share = told.agg(F.sum((F.col("y") == 1).cast("long")).alias("a"), F.count(F.lit(1)).alias("n")).first()
@@ -159,8 +162,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         ordinary_rows = max(1, min(ORDINARY_ROWS, share["n"] - share["a"]))
         toxic_rows = min(toxic_rows, max(50, round(ordinary_rows * share["a"] / (share["n"] - share["a"]))))
     ids = told.where("y = 1").orderBy("o", "i").limit(toxic_rows).unionByName(told.where("y = 0").orderBy("o", "i").limit(ordinary_rows))
-    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), "i").select("y", "t", "o", "i").toPandas()
-    rows = rows.sort_values(["o", "i", "t"])
+    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.octet_length("t") <= ROW_BYTES)
+    rows = texts.join(F.broadcast(ids), "i").select("y", "t", "o", "i").orderBy("o", "i", "t").limit(TOXIC_ROWS + ORDINARY_ROWS).toPandas()
     return fit(rows.loc[rows["y"] == 1, "t"].tolist(), rows.loc[rows["y"] == 0, "t"].tolist())
 
 
@@ -168,7 +171,11 @@ RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def score_rows(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted. Null texts count as empty."""
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    Null texts count as empty and are scored like a text without words; a text of any length is scored whole; repeated rows
+    come out repeated; other columns don't matter. An empty table gives an empty result.
+    """
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +189,11 @@ def score_rows(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
 
 
 def keep_ordinary(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model doesn't call toxic, columns unchanged."""
+    """The rows of docs that the model doesn't call toxic, columns unchanged, whatever their names.
+
+    Null and empty texts are scored as in score_rows, and come out as they were; repeated rows stay or go together; an empty
+    table stays empty.
+    """
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
