@@ -19,6 +19,7 @@ windows are compared and not what is found); their windows are dealt one by one,
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -143,7 +144,9 @@ def blocks_of(texts: list[bytes], frequent: np.ndarray) -> tuple[np.ndarray, ...
 
 # A message: blocks of documents, packed. Documents first, then one entry a block, by document and place.
 
-ID, KEY, START, WIDTH = np.int64, np.uint32, np.uint32, np.uint8
+#: A key: 96 bits of one hash of the text and its CRC, which SQL has too.
+KEY = np.dtype([("a", "<u8"), ("b", "<u4"), ("crc", "<u4")])
+ID, START, WIDTH = np.int64, np.uint32, np.uint8
 
 
 def pack(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, width: np.ndarray, *hashes: np.ndarray) -> bytes:
@@ -154,7 +157,7 @@ def pack(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, width: np.ndarray
     step = np.diff(start.astype(np.int64), prepend=0)
     step[at] = start[at]
     short = step.size > 0 and 0 <= step.min() and step.max() < 65536
-    return b"".join([struct.pack("<iiB", at.size, ids.size, int(short)), ids[at].astype(ID).tobytes(), keys[at].astype(KEY).tobytes(), count.astype(np.uint32).tobytes(), (step.astype(np.uint16) if short else start.astype(START)).tobytes(), width.astype(WIDTH).tobytes(), *[h.astype(np.uint64).tobytes() for h in hashes]])
+    return b"".join([struct.pack("<iiB", at.size, ids.size, int(short)), ids[at].astype(ID).tobytes(), keys[at].tobytes(), count.astype(np.uint32).tobytes(), (step.astype(np.uint16) if short else start.astype(START)).tobytes(), width.astype(WIDTH).tobytes(), *[h.astype(np.uint64).tobytes() for h in hashes]])
 
 
 def unpack(data: bytes, hashes: int) -> tuple[list[np.ndarray], int]:
@@ -184,19 +187,23 @@ ROWS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("payload", pa.bin
 ROWS_SQL = "part int, kind int, payload binary"
 
 
-def _doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (((ids ^ (ids >> 31)) & 0x7FFFFFFF) * 2654435761 >> 16) % parts
+def _doc_part(ids: np.ndarray, keys: np.ndarray, parts: int) -> np.ndarray:
+    """By id, and where there is none by text."""
+    return np.where(ids == NO_ID, keys["crc"].astype(np.int64), ((ids ^ (ids >> 31)) & 0x7FFFFFFF) * 2654435761 >> 16) % parts
 
 
 def _doc_part_sql(parts: int) -> str:
-    return f"cast((((id ^ shiftright(id, 31)) & 2147483647) * 2654435761L >> 16) % {parts} as int)"
+    return f"cast(if(id = {NO_ID}L, crc32(cast(text as binary)), ((id ^ shiftright(id, 31)) & 2147483647) * 2654435761L >> 16) % {parts} as int)"
 
 
 def _text_keys(texts: list[bytes]) -> np.ndarray:
-    """Tells apart rows with one id and different texts."""
+    """Tells apart rows with one id, or none, and different texts."""
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh32_intdigest, texts), np.uint32, len(texts))
+    out = np.empty(len(texts), KEY)
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<u8").reshape(-1, 2)
+    out["a"], out["b"], out["crc"] = both[:, 0], both[:, 1] >> np.uint64(32), np.fromiter(map(zlib.crc32, texts), np.uint32, len(texts))
+    return out
 
 
 def _messages(part: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -214,8 +221,8 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _flags(parts: int, ids: np.ndarray, keys: np.ndarray, start: np.ndarray, width: np.ndarray, kind: int = FLAGS, *hashes: np.ndarray) -> list[tuple[int, int, bytes]]:
-    order = np.lexsort((start, keys, ids))
-    return _messages(_doc_part(ids[order], parts), kind, *[c[order] for c in (ids, keys, start, width, *hashes)])
+    order = np.lexsort((start, keys["crc"], keys["b"], keys["a"], ids))
+    return _messages(_doc_part(ids[order], keys[order], parts), kind, *[c[order] for c in (ids, keys, start, width, *hashes)])
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -291,16 +298,16 @@ def resolve_blocks(parts: int):
 TEXTS_SQL = "part int, kind int, payload binary, id long, text string"
 
 
-def _per_document(rows: list[bytes], hashes: int) -> dict[tuple[int, int], list[np.ndarray]]:
+def _per_document(rows: list[bytes], hashes: int) -> dict[tuple[int, bytes], list[np.ndarray]]:
     """Messages to (id, key): [start, width, hashes ...]."""
     if not rows:
         return {}
     cols = [np.concatenate(c) for c in zip(*(unpack(r, hashes)[0] for r in rows))]
-    order = np.lexsort((cols[2], cols[1], cols[0]))
+    order = np.lexsort((cols[2], cols[1]["crc"], cols[1]["b"], cols[1]["a"], cols[0]))
     cols = [c[order] for c in cols]
     at = np.flatnonzero(_groups(cols[0], cols[1]))
     split = [np.split(c, at[1:]) for c in cols[2:]]
-    return {(int(i), int(k)): list(v) for i, k, *v in zip(cols[0][at], cols[1][at], *split)} if at.size else {}
+    return {(int(i), k.tobytes()): list(v) for i, k, *v in zip(cols[0][at], cols[1][at], *split)} if at.size else {}
 
 
 def open_bytes(parts: int):
@@ -310,7 +317,7 @@ def open_bytes(parts: int):
         rows: list[bytes] = []
         found = None
         for b in batches:
-            out: list[tuple[int, int, int, int, int, bytes]] = []
+            out: list[tuple[int, int, np.void, int, int, bytes]] = []
             for kind, payload, own, text in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4))):
                 if kind == OPEN:
                     rows.append(payload)
@@ -318,8 +325,8 @@ def open_bytes(parts: int):
                 if found is None:  # rows come by kind, texts last
                     found, rows = _per_document(rows, 1), []
                 raw = text.encode()
-                key = int(_text_keys([raw])[0])
-                if (f := found.get((own, key))) is not None:
+                key = _text_keys([raw])[0]
+                if (f := found.get((own, key.tobytes()))) is not None:
                     out += [(int(a), own, key, int(s), int(w), raw[s : s + w + LENGTH - 1]) for s, w, a in zip(*f)]
             if not out:
                 continue
@@ -328,7 +335,7 @@ def open_bytes(parts: int):
             part = (anchor % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             cut = np.flatnonzero(np.diff(part[order])) + 1
-            cols = [np.array(own, np.int64), np.array(key, np.uint32), np.array(start), np.array(width), anchor]
+            cols = [np.array(own, np.int64), np.array(list(key), KEY), np.array(start), np.array(width), anchor]
             yield _batch([(int(part[g[0]]), BYTES, pack(*[c[g] for c in cols]) + b"".join(raw[i] for i in g)) for g in np.split(order, cut)])
 
     return run
@@ -412,7 +419,7 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if found is None:
                 found, rows = _per_document(rows, 0), []
             raw = text.encode()
-            runs, kept = cut(raw, found.get((own, int(_text_keys([raw])[0]))))
+            runs, kept = cut(raw, found.get((own, _text_keys([raw])[0].tobytes())))
             out.append((own if had else None, len(raw), [{"start": a, "stop": b} for a, b in runs.tolist()], kept))
         cols = list(zip(*out)) or [()] * 4
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]

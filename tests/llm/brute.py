@@ -53,13 +53,18 @@ def components(items: dict, linked) -> dict:
 
 
 def removed(docs: list[tuple[int, str | None]], length: int = 50) -> dict[int, tuple[int, int, int, str]]:
+    return dict(zip([i for i, _ in docs], removed_rows(docs, length)))
+
+
+def removed_rows(docs: list[tuple[int, str | None]], length: int = 50) -> list[tuple[int, int, int, str]]:
+    """Row by row, as ids may repeat."""
     least: dict[bytes, int] = {}
     for i, t in docs:
         b = (t or "").encode()
         for s in range(len(b) - length + 1):
             g = b[s : s + length]
             least[g] = min(least.get(g, i), i)
-    out = {}
+    out = []
     for i, t in docs:
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -67,7 +72,7 @@ def removed(docs: list[tuple[int, str | None]], length: int = 50) -> dict[int, t
             if least[b[s : s + length]] < i:
                 gone[s : s + length] = b"\1" * length
         runs = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
-        out[i] = (len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+        out.append((len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
     return out
 
 
