@@ -34,16 +34,21 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     return settled.select("source", "size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at")["level"] * F.col("w"))).alias("target"))
 
 
+def row_key(id_col: str, text_col: str, seed: str = "7") -> Column:
+    """What orders rows, by id and text: rows without an id, or with one and the same, don't stand together."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: str = "7") -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken.
+    """One row per row of docs: doc_id, size, source_size, target, taken, and key, which row_key gives.
 
-    A null text has size 0, a null source is a source of its own, last in rank; null ids are ordered as the word null.
-    The order depends on ids and seed only, so reruns agree; repeated rows count one by one. An empty table gives an empty
-    result. In each source one document at most is taken in part.
+    A null or empty text has size 0 and nothing of it is taken; a null source is a source of its own, last in rank; null
+    ids are ordered as the word null. The order depends on ids, texts and seed only, so reruns agree; repeated rows count
+    one by one; a text of any length is counted whole; other columns don't matter. An empty table gives an empty result. In
+    each source one document at most is taken in part.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = checkpointed(base.withColumn("key", key).withColumn("k", F.substring("key", 1, 3)))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_key(id_col, text_col, seed).alias("key"))
+    rows = checkpointed(base.withColumn("k", F.substring("key", 1, 3)))
     cells = rows.groupBy("source", "k").agg(F.sum("size").alias("cell"))
     targets = water_fill(cells.groupBy("source").agg(F.sum("cell").alias("size")), weights, share, epochs).withColumnRenamed("size", "source_size")
     before = cells.withColumn("before", F.sum("cell").over(Window.partitionBy("source").orderBy("k")) - F.col("cell"))
@@ -53,12 +58,23 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before") - F.col("inside")))
-    return met.withColumn("whole", whole).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken"))
+    return met.withColumn("whole", whole).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken"), "key")
+
+
+def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as often as the mix takes them, columns unchanged; the one of a source taken in part counts whole from half on.
+
+    Rows with equal ids and texts are repeated alike. Texts without words aren't taken. An empty table stays empty.
+    """
+    times = F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int")
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col).groupBy("key").agg(times.alias("_times")).where("_times > 0").withColumnRenamed("key", "_key")
+    rows = docs.join(taken, row_key(id_col, text_col) == F.col("_key"))
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-             md5('7:' || COALESCE(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
+             md5('7:' || COALESCE(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(COALESCE(text, ''))) AS k FROM documents),
 s AS (SELECT source, SUM(size) AS sz FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM s),
 w AS (SELECT *, CASE (r - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, sz * 2.0::DOUBLE AS cap FROM r),
@@ -67,11 +83,11 @@ f AS (SELECT *, SUM(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECED
 l AS (SELECT *, (total * 1.5::DOUBLE - full_) / open_ AS level FROM f),
 a AS (SELECT level AS lv FROM l WHERE level * w <= cap ORDER BY cap / w, r LIMIT 1),
 t AS (SELECT source, CAST(sz AS BIGINT) AS source_size, COALESCE(LEAST(cap, (SELECT lv FROM a) * w), cap) AS target FROM l),
-c AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+c AS (SELECT d.doc_id, d.k, d.size, t.source_size, t.target,
              CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
              SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before_
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, target, k AS key,
        CAST(whole * size + GREATEST(0, LEAST(size, CAST(round(target - whole * source_size) AS BIGINT) - before_)) AS BIGINT) AS taken
 FROM c
 """
