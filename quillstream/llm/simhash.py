@@ -45,7 +45,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         f = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f)], ["doc_id", "x", "fp"])
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -77,6 +77,17 @@ def links(fps: DataFrame) -> DataFrame:
     return near.unionByName(stars).distinct()
 
 
+def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, x, fp) of each row of docs, x a hash of its text; and (fp, c): the component of each fingerprint."""
+    ship(docs.sparkSession)
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("x"))
+    rows = checkpointed(rows.mapInArrow(_fingerprints, "doc_id long, x long, fp long"))
+    fps = rows.select("fp").distinct()
+    comps = connected_components(links(fps))
+    return rows, checkpointed(fps.join(comps, fps["fp"] == comps["node"], "left").select("fp", F.coalesce("component", "fp").alias("c")))
+
+
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its component).
 
@@ -84,12 +95,28 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     like any other. Null ids are passed over when the smallest is taken. Rows may repeat. An empty table gives an empty
     result.
     """
-    ship(docs.sparkSession)
-    rows = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comps = connected_components(links(fps.select("fp")))
-    named = fps.join(comps, fps["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
-    named = checkpointed(named)
+    rows, named = fingerprints(docs, id_col, text_col)
+    named = checkpointed(named.join(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_fp = named.join(least, "c").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one whole row of each component, columns unchanged: that with the smallest id, null ids last.
+
+    Of rows with one id, or none, a hash of their texts decides; of rows alike in id and text any one stays, whatever the
+    other columns hold. Null and empty texts are one component. An empty table stays empty.
+    """
+    rows, named = fingerprints(docs, id_col, text_col)
+    # the best row of a fingerprint, then of a component; both take minima map-side first
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")
+    alike = rows.groupBy("fp", "doc_id", "x").agg(F.count(F.lit(1)).alias("n"))
+    best = alike.select("fp", F.struct(row.alias("row"), "n").alias("r")).groupBy("fp").agg(F.min("r").alias("r"))
+    kept = checkpointed(best.join(named, "fp").groupBy("c").agg(F.min("r").alias("r")).select(F.col("r.row.doc_id").alias("_kept_id"), F.col("r.row.x").alias("_kept_x"), F.col("r.n").alias("_kept_n")))
+    met = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text_col)) == F.col("_kept_x"))
+    if kept.where("_kept_n > 1").isEmpty():
+        return docs.join(kept, met, "left_semi")
+    single = docs.join(kept.where("_kept_n = 1"), met, "left_semi")
+    several = docs.join(kept.where("_kept_n > 1"), met, "inner").dropDuplicates(["_kept_id", "_kept_x"])
+    return single.unionByName(several.select(*[docs[c] for c in docs.columns]))

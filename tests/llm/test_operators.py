@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import io
 import random
 import zlib
@@ -85,6 +86,23 @@ def test_links_of_crowds(spark, seed):
     assert {x: got.get(x, x) for x in signed} == want
 
 
+def test_one_row_per_component(spark, docs):
+    """Null and repeated ids: exactly one row of each component."""
+    w = prose(50)
+    rows = [(5, w), (None, w + " "), (None, "another text"), (None, "another text"), (7, "x"), (7, "y"), (7, "y"), (3, None), (9, ""), (None, None)]
+    rows += [(None, f"{prose(8)} {k}") for k in range(300)]
+    for df in (spark.createDataFrame([(i, t, None, 1) for i, t in rows], "doc_id long, text string, fp string, x int"), docs):
+        fps = [(r.doc_id, r.text, brute.fingerprint(r.text)) for r in df.collect()]
+        comp = brute.components({f: f for _, _, f in fps}, lambda a, b: (a ^ b).bit_count() <= 2)
+        least = {}
+        for i, _, f in fps:
+            k = 1 << 62 if i is None else i
+            least[comp[f]] = min(least.get(comp[f], 1 << 62), k)
+        out = simhash.keep_one_per_component(df)
+        got = {comp[brute.fingerprint(r.text)]: 1 << 62 if r.doc_id is None else r.doc_id for r in out.collect()}
+        assert out.columns == df.columns and out.count() == len(least) and got == least
+
+
 def test_components_of_a_hub_and_a_path(spark):
     edges = [(0, k) for k in range(1, 300)] + [(1000 + k, 1001 + k) for k in range(50)] + [(5, 5)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -132,21 +150,35 @@ def test_sharding(docs):
     assert all(len(set(s)) == 1 for s in brute.groups((text[r.doc_id] or "", r.shard) for r in got).values())
 
 
-def test_schedule_is_lpt():
-    sizes = [random.randint(1, 1000) for _ in range(300)]
+@pytest.mark.parametrize("seed", range(6))
+def test_schedule_is_lpt(seed):
+    """Against a heap that takes groups one by one; with classes of many groups."""
+    r = random.Random(seed)
+    classes = {r.randint(1, 60): r.choice((1, 2, 5, 40, 900)) for _ in range(r.randint(1, 30))}
+    heap = [(0, s) for s in range(7)]
+    for size in sorted(classes, reverse=True):
+        for _ in range(classes[size]):
+            x, s = heap[0]
+            heapq.heapreplace(heap, (x + size, s))
     load = [0] * 7
-    for k, s in sharding.schedule([(x, i) for i, x in enumerate(sizes)], 7):
-        load[s] += sizes[k]
-    assert sum(load) == sum(sizes) and max(load) - min(load) < 0.01 * max(load)
+    for size, given in sharding.schedule(classes.items(), 7):
+        assert sum(given) == classes[size]
+        load = [x + size * k for x, k in zip(load, given)]
+    assert sorted((x, s) for s, x in enumerate(load)) == sorted(heap)
     assert sharding.schedule([], 3) == []
 
 
-def test_small_groups_travel_in_bundles(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "LARGE", 4)
-    monkeypatch.setattr(sharding, "SMALL", 64)
-    df = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "doc_id long, text string")
-    load = [r["sum(size)"] for r in sharding.shard_rows(df, 4).groupBy("shard").sum("size").collect()]
-    assert len(load) == 4 and max(load) < 1.05 * min(load)
+def test_shards_are_those_of_lpt(docs, spark):
+    """Loads as by brute force, also where thousands of groups share a size."""
+    for df in (docs.select("doc_id", "text"), spark.createDataFrame([(i, f"text {i % 1500}") for i in range(2000)], "doc_id long, text string")):
+        size = {}
+        for r in df.collect():
+            size[r.text or ""] = size.get(r.text or "", 0) + len((r.text or "").encode()) + 1
+        load = [0] * 4
+        for x in sorted(size.values(), reverse=True):
+            load[load.index(min(load))] += x
+        got = {r["shard"]: r["sum(size)"] for r in sharding.shard_rows(df, 4).groupBy("shard").sum("size").collect()}
+        assert [got.get(s, 0) for s in range(4)] == load
 
 
 # 4
@@ -259,6 +291,19 @@ def test_suffix_dedup_at_every_edge(spark):
     assert {i: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for i, x in got.items()} == brute.removed(rows)
 
 
+def test_suffix_dedup_of_many_null_and_repeated_ids(spark):
+    """Hundreds of rows without an id, and rows of one id with different texts."""
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = [noise(80) for _ in range(4)]
+    some = lambda: noise(r.randint(0, 60)) + r.choice([*shared, ""]) + noise(r.randint(0, 60))
+    rows = [(k, some()) for k in range(5)] + [(None, some()) for _ in range(400)] + [(7, some()) for _ in range(60)]
+    big = (1 << 63) - 1
+    want = brute.removed_rows([(big if i is None else i, t) for i, t in rows])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), parts=3)
+    assert rows_of(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=repr)
+
+
 def test_long_texts_are_cut_into_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 128)
     t = prose(200).encode()
@@ -289,6 +334,20 @@ def test_mixing(docs, spark):
     assert source and rows_of(mixing.mix(docs)) == rows_of(mixing.mix(docs.repartition(5)))
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None, prose(1 + k % 9), "s0") for k in range(400)] + [(7, prose(1 + k % 9), "s1") for k in range(90)] + [(8, "", "s1"), (9, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {s: sum(len(brute.words(t)) for _, t, x in rows if x == s) for s in ("s0", "s1", None)}
+    want = brute.targets(sizes)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and len({r.key for r in got}) > 300
+    assert sum(r.taken for r in got) == pytest.approx(sum(want.values()), abs=2)
+    took = mixing.repeated(df)
+    assert took.columns == df.columns
+    words = {s: sum(len(brute.words(r.text)) for r in took.collect() if r.source == s) for s in sizes}
+    assert all(abs(words[s] - want[s]) <= 9 for s in sizes)
+
+
 def test_water_filling(spark):
     r = random.Random(2)
     for _ in range(5):
@@ -534,6 +593,6 @@ def test_clean_texts_gives_texts_and_spans(spark):
 # All
 
 
-@pytest.mark.parametrize("f", [simhash.simhash_components, exact_dedup.exact_dedup, exact_dedup.keep_one_per_text, sharding.shard_rows, media.media_features, suffix_dedup.remove_repeats, mixing.mix, pii.find_pii, bpe.bpe_rows, lm.lm_scores], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("f", [simhash.simhash_components, simhash.keep_one_per_component, mixing.repeated, exact_dedup.exact_dedup, exact_dedup.keep_one_per_text, sharding.shard_rows, media.media_features, suffix_dedup.remove_repeats, mixing.mix, pii.find_pii, bpe.bpe_rows, lm.lm_scores], ids=lambda f: f.__name__)
 def test_empty_tables(none, f):
     assert f(none).count() == 0
