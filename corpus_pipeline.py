@@ -8,39 +8,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillstream.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from quillstream.runtime import checkpointed
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from labelled documents outside the held-out part."""
+    """Documents that the classifier rejects go. It learns from labelled documents outside the held-out part.
+
+    Null and empty texts are scored like texts without words; repeated rows stay or go together; an empty table stays empty.
+    """
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_ordinary(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; null ids lose, null texts count as empty."""
     return exact_dedup.keep_one_per_text(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the row with the smallest doc_id stays; ids are taken to be unique here."""
-    found = simhash.simhash_components(docs)
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("kept_id"))
-    return docs.join(first.distinct(), F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == F.col("kept_id"), "left_semi")
+    """Of each group of linked fingerprints the row with the smallest doc_id stays, null ids last.
+
+    Null and empty texts link like any other; ids may repeat, and exactly one row of a group stays; an empty table stays empty.
+    """
+    return simhash.keep_one_per_component(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as the mix takes them; the one of a source taken in part counts whole from half on."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("times"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).where("times > 0")
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
+    """Documents repeated as the mix takes them; the one of a source taken in part counts whole from half on.
+
+    Texts without words go, as the mix takes none of their words; rows with equal ids and texts are repeated alike.
+    """
+    return mixing.repeated(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, packed, beside their digests."""
+    """Token ids, packed, beside their digests; null and empty texts have none, repeated rows come out repeated."""
     return bpe.bpe_rows(docs, with_ids=True)
 
 
