@@ -42,41 +42,44 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def strings(words: list[bytes]) -> Counter[bytes]:
-    """Strings of SHORTEST to LONGEST bytes inside words, the spaces around them included; PER_ROW times at most."""
-    out: Counter[bytes] = Counter()
-    for w, n in Counter(words).items():
-        w = b" " + w + b" "
-        for k in range(SHORTEST, min(LONGEST, len(w)) + 1):
-            for i in range(len(w) - k + 1):
-                out[w[i : i + k]] += n
-    return Counter({g: min(n, PER_ROW) for g, n in out.items()})
-
-
-def rates(rows: list[str], only: dict[bytes, float] | None = None) -> dict[bytes, float]:
-    """Mean number of each string in a row, damped by the row's length."""
-    out: dict[bytes, float] = {}
+def strings(word: bytes) -> list[bytes]:
+    """Strings of SHORTEST to LONGEST bytes inside a word, the spaces around it included; those that repeat, repeatedly."""
+    w = b" " + word + b" "
+    return [w[i : i + k] for k in range(SHORTEST, min(LONGEST, len(w)) + 1) for i in range(len(w) - k + 1)]
+
+
+def rates(rows: list[str], known: dict[bytes, int], add: bool) -> np.ndarray:
+    """Mean number of each known string in a row, PER_ROW times at most and damped by the row's length. add: learn strings."""
+    inside: dict[bytes, np.ndarray] = {}
+    out = np.zeros(1 << 16)
     for words in map(words_of, rows):
-        share = 1 / math.sqrt(len(words) + 20) / len(rows)
-        for g, n in strings(words).items():
-            if only is None or g in only:
-                out[g] = out.get(g, 0.0) + n * share
-    return out
+        counts = Counter(words)
+        for w in counts:
+            if w not in inside:
+                inside[w] = np.array([known.setdefault(g, len(known)) for g in strings(w)] if add else [known[g] for g in strings(w) if g in known], np.int64)
+        which = [inside[w] for w in counts]
+        if not which:
+            continue
+        at, back = np.unique(np.concatenate(which), return_inverse=True)
+        times = np.bincount(back, np.repeat(list(counts.values()), [x.size for x in which]), at.size)
+        while out.size < len(known):
+            out = np.append(out, np.zeros(out.size))
+        out[at] += np.minimum(times, PER_ROW) / math.sqrt(len(words) + 20) / len(rows)
+    return np.resize(out, len(known)) if out.size >= len(known) else np.append(out, np.zeros(len(known) - out.size))
 
 
 def distinctive(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Strings that toxic rows have far oftener, the best first; none within another."""
-    many = rates(toxic)
-    few = rates(ordinary, many)
-    scored = []
-    for g, p in many.items():
-        q = few.get(g, 0.0)
-        if p > RATIO * q:
-            scored.append(((p - q) / math.sqrt((p + q) / 2 + 0.01) * math.log((p + 1e-3) / (q + 1e-3)) * math.sqrt(len(g)), g))
-    scored.sort(key=lambda x: (-x[0], x[1]))
+    known: dict[bytes, int] = {}
+    p = rates(toxic, known, True)
+    q = rates(ordinary, known, False)
+    names = list(known)
+    size = np.array([len(g) for g in names], np.float64)
+    score = (p - q) / np.sqrt((p + q) / 2 + 0.01) * np.log((p + 1e-3) / (q + 1e-3)) * np.sqrt(size)
+    some = np.flatnonzero((p > RATIO * q) & (score >= LEAST_SHARE * score.max(initial=0, where=p > RATIO * q)))
     out: list[bytes] = []
-    for s, g in scored:
-        if s < LEAST_SHARE * scored[0][0] or sum(map(len, out)) > TOXIC_BYTES:
+    for _, g in sorted((-float(score[i]), names[i]) for i in some.tolist()):
+        if sum(map(len, out)) > TOXIC_BYTES:
             break
         if not any(o in g or g in o for o in out):
             out.append(g)
