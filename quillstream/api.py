@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
 from quillstream.model import FORMATS, STORED_CHUNK
-from quillstream.operators import chunkers, embed, retrieval, serialize, store, windows
+from quillstream.operators import chunkers, embed, models, retrieval, serialize, store, windows
 from quillstream.sources import files
 from quillstream.sources.parsers import parse
 from quillstream.sources.parsers import pdf as pdf_parser
@@ -69,7 +69,7 @@ class Converter:
     def convert_all(self, spark: SparkSession, path: str) -> DataFrame:
         """A folder, by Spark: (doc_id, format, status, error, nodes)."""
         rows = files.read_files(spark, path, tuple(self.allowed_formats) if self.allowed_formats else None)
-        return files.parse_documents(rows.where(F.col("format").isNotNull()), id_col="path", format_col="format", content_col="content")
+        return files.parse_documents(rows.where(F.col("format").isNotNull()), id_col="path", format_col="format", content_col="content", page_range=self.page_range)
 
     def markdown(self, converted: DataFrame) -> DataFrame:
         return files.render(converted, "markdown", strict=self.strict, compact=self.compact_tables)
@@ -93,8 +93,8 @@ class Config:
     def __post_init__(self) -> None:
         if self.chunker not in ("window", "hierarchical", "hybrid") or self.unit not in ("words", "tokens"):
             raise ValueError("chunker: window, hierarchical or hybrid; unit: words or tokens")
-        if self.size < 1 or not 0 <= self.overlap < 0.95 or self.dim < 1 or self.top_k < 1 or self.rrf_k < 1:
-            raise ValueError("size, dim, top_k and rrf_k are positive, overlap lies in [0, 0.95)")
+        if self.size < 1 or not 0 <= self.overlap < 0.95 or self.dim < 1 or self.top_k < 1 or self.rrf_k < 1 or self.rewrites < 1:
+            raise ValueError("size, dim, top_k, rrf_k and rewrites are positive, overlap lies in [0, 0.95)")
         self.mode = retrieval.parse_mode(self.mode)
 
     def embedder(self) -> Callable[[], embed.Embedder]:
@@ -105,8 +105,8 @@ class Config:
 class Pipeline:
     """Ingest into a store and query it."""
 
-    def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
-        self.spark, self.config = spark, config or Config()
+    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, chat: models.ChatModel | None = None):
+        self.spark, self.config, self.chat = spark, config or Config(), chat
         self.store = store.Store(spark, root, self.config.dim)
         self.store.migrate()
 
@@ -129,7 +129,7 @@ class Pipeline:
         documents = self.store.tables()[0]
         first = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("hash").orderBy("path"))).where("_n = 1").drop("_n")
         fresh = first.join(documents.select("hash"), "hash", "left_anti")
-        parsed = files.parse_documents(fresh, id_col="id", format_col="format", content_col="content").persist()
+        parsed = files.parse_documents(fresh, id_col="id", format_col="format", content_col="content", page_range=converter.page_range).persist()
         try:
             counts = {r["status"]: r["n"] for r in parsed.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
             good = parsed.where("status = 'success'")
@@ -144,12 +144,20 @@ class Pipeline:
             parsed.unpersist()
 
     def query(self, text: str, *, mode: str | None = None, top_k: int | None = None, extend: bool = False) -> DataFrame:
-        """(rank, id, doc_id, ordinal, score, text) of the best chunks; extend adds the chunks around each."""
-        model = self.config.embedder()()
-        vector = [float(v) for v in model.embed([text])[0]]
-        queries = self.spark.createDataFrame([(0, 0, text, vector)], "query int, list_ix int, text string, v array<double>")
+        """(rank, id, doc_id, ordinal, score, text) of the best chunks; extend adds the chunks around each.
+
+        multi-query and hyde need the pipeline's chat model: for `rewrites` other wordings, or for a hypothetical answer
+        whose vector is searched.
+        """
+        mode = retrieval.parse_mode(mode or self.config.mode)
+        if mode in ("multi-query", "hyde") and self.chat is None:
+            raise ValueError(f"{mode} needs a chat model")
+        texts = models.ask_rewrites(self.chat, text, self.config.rewrites) if mode == "multi-query" else [text]
+        sought = [models.ask_hypothetical(self.chat, text)] if mode == "hyde" else texts
+        vectors = [[float(v) for v in e] for e in self.config.embedder()().embed(sought)]
+        queries = self.spark.createDataFrame([(0, i, t, v) for i, (t, v) in enumerate(zip(texts, vectors))], "query int, list_ix int, text string, v array<double>")
         chunks = self.store.tables()[1]
-        hits = retrieval.retrieve(mode or self.config.mode, chunks, queries, top_k or self.config.top_k).select("rank", "id", "score").join(chunks.select("id", "doc_id", "ordinal", "text"), "id")
+        hits = retrieval.retrieve(mode, chunks, queries, top_k or self.config.top_k, rrf_k=self.config.rrf_k).select("rank", "id", "score").join(chunks.select("id", "doc_id", "ordinal", "text"), "id")
         if extend:
             around = windows.neighborhood(chunks, hits.select("doc_id", "ordinal"))
             hits = hits.drop("text").join(around.select("doc_id", "ordinal", F.col("context").alias("text")), ["doc_id", "ordinal"])

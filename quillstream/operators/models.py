@@ -48,6 +48,18 @@ def complete_column(df: DataFrame, make: Callable[[], ChatModel], *, prompt_col:
     return df.mapInPandas(run, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{out_col}` string"]))
 
 
+def ask_rewrites(chat: ChatModel, question: str, n: int = 4) -> list[str]:
+    """n other wordings by a model, the question itself last."""
+    p = f"Write {n} other wordings of the question, one a line, and nothing else.\n\nQuestion: {question}"
+    lines = chat.rewrite(question, n) if hasattr(chat, "rewrite") else chat.complete([p])[0].splitlines()
+    return rewrites("\n".join(lines), question, n)
+
+
+def ask_hypothetical(chat: ChatModel, question: str) -> str:
+    """A passage that would answer the question, by a model; the question where that is blank."""
+    return chat.complete([f"Write a short passage that answers the question.\n\nQuestion: {question}"])[0].strip() or question
+
+
 def rewrites(lines: str, question: str, n: int = 4) -> list[str]:
     """A model's list of rewrites without its markers, the question last; duplicates go."""
     import re

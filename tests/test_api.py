@@ -42,6 +42,41 @@ def test_pipeline(spark, folder, tmp_path, chunker):
     assert p.ingest(str(folder))["ingested"] == 1 and p.stats()["documents"] == 2
 
 
+class Chat:
+    """Answers with a passage about dogs, whatever is asked; rewords a question as one about barking."""
+
+    def complete(self, prompts):
+        return ["1. barks at night\n2) barks\n" if "other wordings" in p else "A dog barks at night." for p in prompts]
+
+
+def test_query_modes_with_a_chat_model(spark, folder, tmp_path):
+    p = Pipeline(spark, str(tmp_path / "store"), Config(dim=64, rrf_k=7, rewrites=2), Chat())
+    p.ingest(str(folder))
+    best = lambda mode: p.query("purring cats", mode=mode, top_k=1).first()
+    assert "Purring" in best("vector")["text"] and "Purring" in best("hybrid")["text"]
+    assert "dog" in best("hyde")["text"] and "dog" in best("multi-query")["text"]
+    # each of three lists gives 1 / (7 + rank), of hybrid lists fused alike
+    assert best("hybrid")["score"] == pytest.approx(2 / 8) and best("multi-query")["score"] <= 3 / 8
+    with pytest.raises(ValueError):
+        Pipeline(spark, str(tmp_path / "store"), Config(dim=64)).query("x", mode="hyde")
+
+
+def test_page_range_in_spark(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4\n")
+    (tmp_path / "b.md").write_text("# B")
+    got = {r.format: r for r in Converter(page_range="3-2").convert_all(spark, str(tmp_path)).collect()}
+    assert got["pdf"].status == "failure" and "page range" in got["pdf"].error and sum(r.status == "success" for r in got.values()) == 1
+
+
+def test_many_queries_go_in_blocks(spark):
+    from quillstream.operators import retrieval
+
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(9)], "query int, v array<double>")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(retrieval.cosine_scores(vectors, queries, at_once=2)) == rows(retrieval.cosine_scores(vectors, queries)) != []
+
+
 @pytest.mark.parametrize("bad", [{"size": 0}, {"overlap": 0.95}, {"mode": "x"}, {"chunker": "y"}, {"dim": 0}])
 def test_config_is_checked(bad):
     with pytest.raises(ValueError):
