@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +305,50 @@ def test_suffix_dedup_of_many_null_and_repeated_ids(spark):
     assert rows_of(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=repr)
 
 
+def test_suffix_dedup_where_words_recur(spark):
+    """Blocks under one anchor that share less than a window, just a window, or have their anchor twice."""
+    r = random.Random(8)
+    few = [bytes(r.choice(b"abcdefgh") for _ in range(r.randint(2, 6))).decode() for _ in range(12)]
+    rows = [(k, " ".join(r.choices(few, k=r.randint(0, 120))) + r.choice(("", "ab" * r.randint(10, 60)))) for k in range(150)]
+    got = {x.doc_id: x for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), parts=3).collect()}
+    assert {i: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for i, x in got.items()} == brute.removed(rows)
+
+
+def test_blocks_without_a_common_side_stay_closed():
+    """A shared string shorter than a side puts no block's bytes on the way; one of a window's length does."""
+    r = random.Random(9)
+    noise = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    for shared, some in ((35, False), (50, True)):
+        p = noise(shared)
+        texts = [noise(200) + p + noise(200) for _ in range(20)]
+        ids, keys = np.arange(20), suffix_dedup._text_keys(texts, False)
+        anchor, h, doc, start, width, side = suffix_dedup.blocks_and_sides(texts, np.zeros(0, np.uint64))
+        message = suffix_dedup.pack(ids, keys, doc, start, width, anchor, h, side)
+        out = [x for b in suffix_dedup.resolve_blocks(1)(iter([suffix_dedup._batch([(0, suffix_dedup.BLOCKS, message)])])) for x in b.to_pylist()]
+        assert any(x["kind"] == suffix_dedup.OPEN for x in out) == some
+
+
+def test_blocks_are_held_a_few_texts_at_a_time(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HELD", 1000)
+    texts = ["x" * 400] * 7 + ["", "y" * 5000, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], ["id", "text"])
+    got = [(ids.tolist(), [t.decode() for t in part]) for ids, part in suffix_dedup._slices(iter([batch]))]
+    assert [len(t) for _, t in got] == [3, 3, 3, 1] and sum((i for i, _ in got), []) == list(range(10)) and sum((t for _, t in got), []) == texts
+
+
+def test_packed_blocks_come_back():
+    """Without keys, and with some; short and long steps."""
+    r = np.random.default_rng(3)
+    doc = np.repeat([4, 0, 2], [3, 1, 5])
+    for far in (100, 1 << 30):
+        for keyed in (False, True):
+            ids, keys = np.arange(5) * 7, suffix_dedup._text_keys([b"%d" % k for k in range(5)], keyed)
+            start, width, h = np.sort(r.integers(0, far, 9)), r.integers(1, 65, 9), r.integers(0, 1 << 63, 9).astype(np.uint64)
+            back, again, (d, s, w, x), end = suffix_dedup.unpack(data := suffix_dedup.pack(ids, keys, doc, start, width, h), (suffix_dedup.HASH,))
+            assert end == len(data) and back[d].tolist() == ids[doc].tolist() and again[d].tolist() == keys[doc].tolist()
+            assert (s.tolist(), w.tolist(), x.tolist()) == (start.tolist(), width.tolist(), h.tolist())
+
+
 def test_long_texts_are_cut_into_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 128)
     t = prose(200).encode()
