@@ -15,7 +15,9 @@ context), normalised over all words outside the core and an unseen one. Both nor
 context's vector, the second is summed over the ranges. So probabilities of seen words sum to one with the base's allowance
 for an unseen one.
 
-Words outside the core meet their vectors by range of hash: none of them can have more than one in WORDS of the tokens.
+Words outside the core meet their vectors by range of hash: none of them can have more than one in WORDS of the tokens. One
+pass over the texts sends their occurrences there, held-out rows' apart; the vectors are learned from the training rows' and
+then meet both where they are.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ SETTLED = 1e-3  # nats that a step still changes a word's objective by
 PARTITION = 24 << 20  # text bytes a partition
 ROW_BLOCK = 1024
 
-COUNTS, TOTAL, KINDS, TOP, RARE, TEXTS, SUMS, VECTORS, SHARES = range(9)
+COUNTS, TOTAL, KINDS, TOP, RARE, ASKED, TEXTS, SUMS, VECTORS, SHARES = range(10)  # kinds of rows; RARE: to learn from, ASKED: held out
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -114,8 +117,10 @@ def merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_ids(words: list[bytes], vocabulary: dict[bytes, int], other: int) -> np.ndarray:
     """A text's tokens and its end."""
-    get = vocabulary.get
-    return np.array([*[get(w, other) for w in words], other + 1], np.int64)
+    out = np.empty(len(words) + 1, np.int64)
+    out[:-1] = np.fromiter(map(vocabulary.get, words, repeat(other)), np.int64, len(words))
+    out[-1] = other + 1
+    return out
 
 
 def neighbours(ids: np.ndarray, other: int) -> np.ndarray:
@@ -130,6 +135,7 @@ class RareWords:
 
     def __init__(self, other: int):
         self.other = other
+        self.kind = np.uint16 if other + 3 <= 65536 else np.uint32
         self.words: defaultdict[bytes, int] = defaultdict()
         self.words.default_factory = self.words.__len__
         self.found: list[np.ndarray] = []
@@ -137,59 +143,50 @@ class RareWords:
     def add(self, row: int, words: list[bytes], ids: np.ndarray, before: np.ndarray) -> None:
         at = np.flatnonzero(ids == self.other)
         if at.size:
-            which = [self.words[words[j]] for j in at.tolist()]
-            self.found.append(np.stack([which, np.full(at.size, row), before[at], ids[at + 1]]))
+            which = np.fromiter(map(self.words.__getitem__, map(words.__getitem__, at.tolist())), np.uint32, at.size)
+            self.found.append((which, np.full(at.size, row, np.uint32), before[at].astype(self.kind), ids[at + 1].astype(self.kind)))
 
-    def messages(self, parts: int, first: int, rows: int) -> list[tuple]:
-        """rows: 0 leaves the rows out."""
+    def messages(self, parts: int, first: int, rows: int, kind: int) -> list[tuple]:
         if not self.found:
             return []
         words = list(self.words)
-        wid, row, prev, following = np.concatenate(self.found, axis=1)
+        wid, row, prev, following = (np.concatenate(c) for c in zip(*self.found))
+        self.found.clear()
         dealt = np.array([_part(w, parts) for w in words])
-        order = np.lexsort((row, wid, dealt[wid]))
-        wid, row, prev, following = wid[order], row[order], prev[order], following[order]
-        ends = [*(np.flatnonzero(np.diff(dealt[wid])) + 1).tolist(), wid.size]
-        kind = np.uint16 if max(rows, self.other + 3) <= 65536 else np.uint32
+        turn = np.argsort(dealt, kind="stable")  # words by part
+        rank = np.empty(turn.size, np.uint64)
+        rank[turn] = np.arange(turn.size, dtype=np.uint64)
+        both = rank[wid] << np.uint64(32)
+        both |= np.arange(wid.size, dtype=np.uint64)
+        both.sort()  # rows come in order
+        order = both.astype(np.uint32)
+        both >>= np.uint64(32)
+        rank = both.astype(np.int64)
+        size = np.uint16 if max(rows, self.other + 3) <= 65536 else np.uint32
+        row, prev, following = (x.astype(size)[order] for x in (row, prev, following))
+        new = np.flatnonzero(np.diff(rank, prepend=-1))  # each word occurs
+        times = np.diff(np.append(new, rank.size)).astype(np.uint32)
+        lows = np.append(0, np.flatnonzero(np.diff(dealt[turn])) + 1).tolist()
+        order = turn.tolist()
         out = []
-        for a, b in zip([0, *ends], ends):
-            w = wid[a:b]
-            new = np.flatnonzero(np.diff(w, prepend=-1))
-            times = np.diff(np.append(new, w.size)).astype(np.uint32)
-            body = [x[a:b].astype(kind).tobytes() for x in ([row] if rows else []) + [prev, following]]
-            head = struct.pack("<qiiiB", first, rows, new.size, w.size, np.dtype(kind).itemsize)
-            out.append((int(dealt[w[0]]), RARE, b"".join([head, times.tobytes(), *body, b" ".join(words[i] for i in w[new].tolist())]), None, None))
+        for lo, hi in zip(lows, [*lows[1:], turn.size]):
+            a, b = int(new[lo]), int(new[hi]) if hi < turn.size else rank.size
+            head = struct.pack("<qiiiB", first, rows, hi - lo, b - a, np.dtype(size).itemsize)
+            out.append((int(dealt[order[lo]]), kind, b"".join([head, times[lo:hi].tobytes(), *[x[a:b].tobytes() for x in (row, prev, following)], b" ".join([words[i] for i in order[lo:hi]])]), None, None))
         return out
 
 
-def unpack_rare(data: bytes) -> tuple[int, int, list[bytes], np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+def unpack_rare(data: bytes) -> tuple[int, int, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First uid, number of rows, words, times of each; row, class before and class after of each occurrence."""
     first, rows, n_words, n, size = struct.unpack_from("<qiiiB", data)
     at = struct.calcsize("<qiiiB")
     times = np.frombuffer(data, np.uint32, n_words, at)
     at += 4 * n_words
     columns = []
-    for _ in range(3 if rows else 2):
-        columns.append(np.frombuffer(data, {2: np.uint16, 4: np.uint32}[size], n, at).astype(np.int64))
+    for _ in range(3):
+        columns.append(np.frombuffer(data, {2: np.uint16, 4: np.uint32}[size], n, at))
         at += size * n
-    return first, rows, data[at:].split(b" "), times, (columns[0] if rows else None), columns[-2], columns[-1]
-
-
-def rare_pairs(vocabulary: dict[bytes, int], parts: int):
-    """(doc_id, text) of training rows to messages of the words outside the core."""
-    other = len(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rare = RareWords(other)
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                if not held_out(i):
-                    words = words_of(t.as_py())
-                    ids = token_ids(words, vocabulary, other)
-                    rare.add(0, words, ids, neighbours(ids, other))
-            yield _rows(rare.messages(parts, 0, 0))
-
-    return run
+    return first, rows, data[at:].split(b" "), times, *columns
 
 
 def count_pairs(vocabulary: dict[bytes, int]):
@@ -336,7 +333,7 @@ def sparse(word: np.ndarray, cls: np.ndarray, wide: int) -> tuple[np.ndarray, np
 
 def learn_rare(core: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: np.ndarray, rare_mass: float):
     """Messages of a part's words outside the core to their counts and vectors (VECTORS), and what they add to the
-    normaliser of the class of others after each context (SHARES).
+    normaliser of the class of others after each context (SHARES). All messages pass, vectors last.
 
     rare_mass: what the smoothed counts of all words outside the core sum to.
     """
@@ -351,13 +348,16 @@ def learn_rare(core: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: np.ndarra
         found.default_factory = found.__len__
         me, got = None, []
         for b in batches:
-            for p, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            yield b
+            for p, kind, data in zip(*(b.column(k).to_pylist() for k in (0, 1, 2))):
+                if kind != RARE:
+                    continue
                 me = p
                 _, _, words, times, _, prev, following = unpack_rare(data)
-                got.append(np.stack([np.repeat(np.array([found[w] for w in words]), times), prev, following]).astype(np.int32))
+                got.append((np.repeat(np.array([found[w] for w in words], np.int32), times), prev, following))
         if me is None:
             return
-        word, prev, following = np.concatenate(got, axis=1).astype(np.int64)
+        word, prev, following = (np.concatenate(c).astype(np.int64) for c in zip(*got))
         got.clear()
         words = sorted(found)
         turn = np.empty(len(words), np.int64)
@@ -383,10 +383,10 @@ def _row_part(uid: int, parts: int) -> int:
 
 
 def score_texts(vocabulary: dict[bytes, int], base_in: np.ndarray, log_p: np.ndarray, ends: bool, parts: int):
-    """(uid, doc_id, text) to sums of the tokens in the vocabulary (TEXTS) and rare words by part (RARE).
+    """(uid, doc_id, text) to sums of the tokens in the vocabulary (TEXTS) and rare words by part (RARE and ASKED).
 
-    base_in: log10(c + ADD) of the vocabulary's words, 0, and of the end. log_p: of a class after a class, less the log
-    normaliser of the words in the class of others. uids count up by one in a partition.
+    base_in: log10(c + ADD) of the vocabulary's words, 0, and of the end. log_p: of a class after a class. uids count up by
+    one in a partition.
     """
     other = len(vocabulary)
 
@@ -396,7 +396,8 @@ def score_texts(vocabulary: dict[bytes, int], base_in: np.ndarray, log_p: np.nda
                 continue
             uid = b.column(0).to_numpy()
             own = b.column(1).to_pylist()
-            rare = RareWords(other)
+            held = np.array([held_out(o) for o in own])
+            rare = RareWords(other), RareWords(other)
             sums = np.zeros((4, b.num_rows))  # tokens, known in the vocabulary, base, model
             for k, t in enumerate(b.column(2)):
                 words = words_of(t.as_py())
@@ -404,22 +405,26 @@ def score_texts(vocabulary: dict[bytes, int], base_in: np.ndarray, log_p: np.nda
                 before = neighbours(ids, other)
                 inside = ids < other
                 sums[:, k] = ids.size, np.count_nonzero(inside) + ends, base_in[ids].sum(), log_p[before, ids].sum()
-                rare.add(k, words, ids, before)
+                rare[int(held[k])].add(k, words, ids, before)
             rows = []
             kept = [o is not None for o in own]
-            held = np.array([held_out(o) for o in own])
             ids = np.array([o or 0 for o in own], np.int64)
             block = np.array([_row_part(u, parts) for u in uid.tolist()])
             for part in np.unique(block).tolist():
                 at = np.flatnonzero(block == part)
                 rows.append((part, TEXTS, struct.pack("<i", at.size) + uid[at].tobytes() + ids[at].tobytes() + sums[:, at].tobytes() + (np.array(kept)[at] + 2 * held[at]).astype(np.uint8).tobytes(), None, None))
-            yield _rows(rows + rare.messages(parts, int(uid[0]), b.num_rows))
+            for r, kind in zip(rare, (RARE, ASKED)):
+                rows += r.messages(parts, int(uid[0]), b.num_rows, kind)
+            yield _rows(rows)
 
     return run
 
 
-def meet_vectors(parts: int, core: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """Vectors and words outside the core of a part to sums by row, dealt by row; other messages pass."""
+def meet_vectors(parts: int, core: tuple[np.ndarray, np.ndarray, np.ndarray], log_shares: np.ndarray):
+    """Vectors and words outside the core of a part to sums by row, dealt by row; TEXTS pass.
+
+    log_shares: the log normaliser, after each class, of the words in the class of others.
+    """
     hidden, q, bias = core
     other = len(bias) - 2
     usual = hidden[other] @ q.T + bias
@@ -436,22 +441,22 @@ def meet_vectors(parts: int, core: tuple[np.ndarray, np.ndarray, np.ndarray]):
                     z = np.load(io.BytesIO(data))
                     counts, as_target, q_rare, as_context, h_rare, norm = (z[k] for k in ("counts", "as_target", "q", "as_context", "h", "norm"))
                     at = {w: i for i, w in enumerate(z["words"].tobytes().split(b" "))}
-                elif kind == RARE:
+                elif kind in (RARE, ASKED):
                     waiting.append(data)
                     me = p
-                else:
+                elif kind == TEXTS:
                     passed.append((p, kind, data, None, None))
             yield _rows(passed)
         for data in waiting:
             first, rows, words, times, doc, prev, following = unpack_rare(data)
             own = np.repeat(np.array([at.get(w, -1) for w in words]), times)
             seen = own >= 0
-            base, extra = np.full(own.size, np.log10(ADD)), np.zeros(own.size)
+            base, extra = np.full(own.size, np.log10(ADD)), -log_shares[prev]
             if seen.any():
                 i, k, t = own[seen], prev[seen], following[seen]
                 base[seen] = np.log10(counts[i] + ADD)
                 c = as_context[i]
-                extra[seen] = np.einsum("ij,ij->i", hidden[k], q_rare[as_target[i]]) + np.einsum("ij,ij->i", h_rare[c], q[t]) + bias[t] - norm[c] - usual[t]
+                extra[seen] += np.einsum("ij,ij->i", hidden[k], q_rare[as_target[i]]) + np.einsum("ij,ij->i", h_rare[c], q[t]) + bias[t] - norm[c] - usual[t]
             base, known, rare, extra = (np.bincount(doc, x, rows) for x in (base, seen, np.ones(own.size), extra / np.log(10)))
             some = np.flatnonzero(rare)
             uid = first + some
@@ -538,11 +543,9 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     mass = rare + ADD * (sums.get(KINDS, 0) - len(top) + 1)
     log_rare = float(np.log10(mass))
 
-    learned = checkpointed(dealt(texts.mapInArrow(rare_pairs(vocabulary, parts), ROWS_SQL)).mapInArrow(learn_rare(core, pairs, mass), ROWS_SQL))
+    scored = texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(score_texts(vocabulary, base_in, log_p / np.log(10), ends > 0, parts), ROWS_SQL)
+    learned = checkpointed(dealt(scored).mapInArrow(learn_rare(core, pairs, mass), ROWS_SQL))
     shares = [np.frombuffer(r["payload"]) for r in learned.where(F.col("kind") == SHARES).orderBy("part").select("payload").collect()]
-    log_p[:, len(top)] -= np.log(sum(shares, np.full(shape[0], ADD / mass)))
-    log_p /= np.log(10)
-
-    scored = texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(score_texts(vocabulary, base_in, log_p, ends > 0, parts), ROWS_SQL)
-    met = dealt(scored.unionByName(learned.where(F.col("kind") == VECTORS))).mapInArrow(meet_vectors(parts, core), ROWS_SQL)
+    log_shares = np.log(sum(shares, np.full(shape[0], ADD / mass)))
+    met = learned.mapInArrow(meet_vectors(parts, core, log_shares), ROWS_SQL)
     return dealt(met).mapInArrow(add_up(tokens, log_all, log_rare), RESULT)

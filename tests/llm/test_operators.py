@@ -606,6 +606,30 @@ def test_lm_is_normalised_over_all_words(spark, monkeypatch):
     assert len(words) == 13 and (start > 0).all() and start.sum() + p[0] == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_occurrences_go_once():
+    """One pass sends all rows' words outside the core; vectors come from the training rows' alone, and meet both."""
+    rows = [(i, "a b " * 3 + f"w{i} w{i % 3}") for i in range(40)]
+    vocabulary, parts = {b"a": 0, b"b": 1}, 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), *map(pa.array, zip(*rows))], ["uid", "doc_id", "text"])
+    pairs = np.random.default_rng(1).integers(1, 9, (5, 4)).astype(float)
+    core = lm.learn_core(pairs, steps=5)
+    sent = [m for b in lm.score_texts(vocabulary, np.zeros(4), np.zeros((5, 4)), True, parts)(iter([batch])) for m in b.to_pylist()]
+    words = {k: sorted((w, int(n)) for m in sent if m["kind"] == k for w, n in zip(*lm.unpack_rare(m["payload"])[2:4])) for k in (lm.RARE, lm.ASKED)}
+    for k, held in ((lm.RARE, False), (lm.ASKED, True)):
+        want = brute.Counter(w for i, t in rows if lm.held_out(i) == held for w in t.encode().split() if w not in vocabulary)
+        assert words[k] == sorted(want.items()) and want
+    known = {w for w, _ in words[lm.RARE]}
+    seen = {i: 0 for i, _ in rows}
+    for p in range(parts):
+        learned = list(lm.learn_rare(core, pairs, 100.0)(iter([lm._rows([tuple(m.values()) for m in sent if m["part"] == p])])))
+        for m in (m for b in lm.meet_vectors(parts, core, np.zeros(5))(iter(learned)) for m in b.to_pylist()):
+            if m["kind"] == lm.SUMS:
+                _, n = lm.struct.unpack_from("<ii", m["payload"])
+                for u, x in zip(np.frombuffer(m["payload"], np.int64, n, 8), np.frombuffer(m["payload"], np.float32, n, 8 + 24 * n)):
+                    seen[int(u)] += int(x)
+    assert seen == {i: sum(w in known for w in t.encode().split()) for i, t in rows}
+
+
 def test_lm_without_training_rows(spark):
     i = next(k for k in range(1000) if brute.crc(k) % 10 == 0)
     (r,) = lm.lm_scores(spark.createDataFrame([(i, "a b")], "doc_id long, text string")).collect()
