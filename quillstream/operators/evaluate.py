@@ -39,8 +39,8 @@ def leaderboard(rows: DataFrame, by: tuple[str, ...] = ("size", "overlap", "mode
     return means.orderBy(F.desc("ndcg"), F.desc("recall"), F.desc("mrr"), *by)
 
 
-def sweep(index: Callable[[int, float], DataFrame], search: Callable[[str, DataFrame], DataFrame], queries: DataFrame, sizes: Iterable[int], overlaps: Iterable[float], modes: Iterable[str]) -> DataFrame:
-    """One row per configuration and query. index makes chunks for a size and overlap, search ranks them in a mode."""
+def sweep[I](index: Callable[[int, float], I], search: Callable[[str, I], DataFrame], queries: DataFrame, sizes: Iterable[int], overlaps: Iterable[float], modes: Iterable[str]) -> DataFrame:
+    """One row per configuration and query. index makes chunks for a size and overlap (or what stands for them), search ranks them in a mode."""
     modes = tuple(modes)
     out = None
     for size, overlap in product(sizes, overlaps):
