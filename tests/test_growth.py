@@ -115,3 +115,20 @@ def test_repeated_ids(spark, sf, tmp_path, name):
     d = pq.read_table(f"{sf}/documents.parquet").slice(0, 30)
     ids = [i // 2 for i in range(30)]
     same(spark, with_tables(tmp_path, sf, documents=d.set_column(0, "doc_id", pa.array(ids, pa.int64()))), name)
+
+
+def test_boxes_of_one_place_are_compared_once(spark, sf, tmp_path, no_broadcast):
+    """Ten times the parts, dealt over as many places: the same pairs of places."""
+    p = pq.read_table(f"{sf}/part.parquet")
+    k = p["p_partkey"].to_numpy()
+    more = pa.concat_tables(p.set_column(p.schema.get_field_index("p_partkey"), "p_partkey", pa.array(k + 2000 * i, pa.int64())) for i in range(10))
+    folder = with_tables(tmp_path, sf, part=more)
+    same(spark, folder, "iou_match")
+    cells = [x for x in moved(catalogue.QUERIES["iou_match"](spark, folder)).splitlines() if "cx#" in x]
+    assert cells and not any("id_a#" in x for x in cells)
+
+
+def test_boxes_that_repeat_an_id(spark, sf, tmp_path):
+    p = pq.read_table(f"{sf}/part.parquet")
+    at = p.schema.get_field_index("p_size")
+    same(spark, with_tables(tmp_path, sf, part=pa.concat_tables([p, p.set_column(at, p.schema.field(at), pa.array([s.as_py() + 7 for s in p["p_size"]], p.schema.field(at).type))])), "iou_match")
