@@ -132,3 +132,13 @@ def test_boxes_that_repeat_an_id(spark, sf, tmp_path):
     p = pq.read_table(f"{sf}/part.parquet")
     at = p.schema.get_field_index("p_size")
     same(spark, with_tables(tmp_path, sf, part=pa.concat_tables([p, p.set_column(at, p.schema.field(at), pa.array([s.as_py() + 7 for s in p["p_size"]], p.schema.field(at).type))])), "iou_match")
+
+
+@pytest.mark.parametrize("name", ["html_titles", "html_h1", "html_links"])
+def test_pages_as_their_sql_reads_them(spark, sf, tmp_path, name):
+    """References cut off or unknown, no title, two of them, attributes, white space of several kinds, no page."""
+    bodies = ["a &amp;&amp", "&lt&lt;x_y&gt;", "b\v c\x85d  e", "&copy; &#65;", "  \n\tf  g\r\n", "", "&amp;lt;"]
+    pages = [f"<title>{x}</title><h1>{x}</h1><a href=\"/{k}\">{x}</a>" for k, x in enumerate(bodies)]
+    pages += [None, "", "<TITLE>x</TITLE><H1>y</H1>", "<h1 class=a>z</h1><h1>w</h1><h1>v</h1>", "<title>a<b>c</title><h1>a<b>c</b></h1>"]
+    t = pa.table({"page_id": pa.array(range(len(pages)), pa.int64()), "url": [f"u{i}" for i in range(len(pages))], "html": pages})
+    same(spark, with_tables(tmp_path, sf, pages=t), name)
