@@ -142,3 +142,71 @@ def test_pages_as_their_sql_reads_them(spark, sf, tmp_path, name):
     pages += [None, "", "<TITLE>x</TITLE><H1>y</H1>", "<h1 class=a>z</h1><h1>w</h1><h1>v</h1>", "<title>a<b>c</title><h1>a<b>c</b></h1>"]
     t = pa.table({"page_id": pa.array(range(len(pages)), pa.int64()), "url": [f"u{i}" for i in range(len(pages))], "html": pages})
     same(spark, with_tables(tmp_path, sf, pages=t), name)
+
+
+class Taken:
+    """A DataFrame that gives the function it is to run in batches."""
+
+    sparkSession = None
+
+    def select(self, *cols):
+        return self
+
+    where = select
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.fixture
+def held(spark, monkeypatch):
+    """Rows of each batch that a step yields from one large batch."""
+    from quillstream import runtime
+    from quillstream.sources import files
+
+    monkeypatch.setattr(runtime, "ship", lambda s: s)
+    monkeypatch.setattr(files, "ship", lambda s: s)
+    monkeypatch.setattr(files, "spread", lambda df: df)
+    monkeypatch.setattr(files, "PIECE", 20_000, raising=False)
+    parse = files.parse_documents(Taken(), id_col="a", format_col="b", content_col="c")
+    page = "<html><body><h1>x</h1>" + "<p>some words and <b>more</b> of them</p>" * 10 + "</body></html>"
+    pages = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(100)], "format": ["html"] * 100, "content": [page] * 100})
+    parsed = list(parse(iter([pages])))
+    nodes = pa.Table.from_batches(parsed).select(["doc_id", "nodes"]).combine_chunks().to_batches()
+    assert len(nodes) == 1
+    return parsed, lambda step: list(step(iter(nodes)))
+
+
+@pytest.mark.parametrize("name", ["html_nodes, html_furniture", "markdown", "json", "xml", "archive", "hierarchical", "hybrid"])
+def test_pages_are_worked_on_in_pieces(held, name):
+    from quillstream.sources import files
+
+    parsed, run = held
+    if name in ("markdown", "json", "xml", "archive"):
+        parsed = run(files.render(Taken(), name))
+    elif name in ("hierarchical", "hybrid"):
+        parsed = run(files.chunk_documents(Taken(), name))
+    ids = [i for b in parsed for i in dict.fromkeys(b.column(0).to_pylist())]
+    assert ids == [str(i) for i in range(100)] and max(len(set(b.column(0).to_pylist())) for b in parsed) < 60
+
+
+@pytest.mark.parametrize("name", ["semchunk", "semchunk_words"])
+def test_texts_are_split_in_pieces(spark, monkeypatch, name):
+    from quillstream import runtime
+    from quillstream.sources import files
+
+    steps = []
+    monkeypatch.setattr(files, "PIECE", 1000, raising=False)
+    monkeypatch.setattr(runtime, "ship", lambda s: s)
+    monkeypatch.setattr(documents, "table", lambda *a: Taken())
+    monkeypatch.setattr(Taken, "mapInArrow", lambda self, run, schema: steps.append(run))
+    with pytest.raises(AttributeError):
+        documents.__dict__[name](spark, "")
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(200), pa.int64()), "text": ["a b. " * 50] * 200})
+    assert len(list(steps[0](iter([batch])))) == 50
+
+
+def test_counts_of_past_documents_are_let_go():
+    from quillstream.operators import chunkers
+
+    assert chunkers.Hybrid().count.cache_info().maxsize <= 1 << 10
