@@ -7,13 +7,16 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillstream.functions import text as X
 from quillstream.functions import vectors as V
-from quillstream.runtime import ship, spread
+from quillstream.operators import lexical
+from quillstream.runtime import pieces, ship, spread, unique_ids
 
 DIM = 1024
 OFFSET, PRIME, WRAP = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
@@ -34,21 +37,24 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-def fnv1a_all(features: list[bytes]) -> np.ndarray:
-    """fnv1a of each, a byte of all at a time: longest first, so those that go on are a prefix."""
-    size = np.fromiter(map(len, features), np.int64, len(features))
+def fnv1a_on(h: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each state after the bytes data[start : start + size], a byte of all at a time: longest first, so those that go on are a prefix."""
     order = np.argsort(-size, kind="stable")
-    buf = np.frombuffer(b"".join(features), np.uint8)
-    start = (np.cumsum(size) - size)[order]
-    left = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")  # features longer than j bytes
-    h = np.full(size.size, OFFSET, np.uint64)
+    h, start = h[order], start[order]
+    left = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")  # longer than j bytes
     for j, n in enumerate(left.tolist()):
-        h[:n] = (h[:n] ^ buf[start[:n] + j]) * np.uint64(PRIME)
+        h[:n] = (h[:n] ^ data[start[:n] + j]) * np.uint64(PRIME)
     out = np.empty_like(h)
     out[order] = h
     return out
 
 
+def fnv1a_all(features: list[bytes]) -> np.ndarray:
+    """fnv1a of each."""
+    size = np.fromiter(map(len, features), np.int64, len(features))
+    return fnv1a_on(np.full(size.size, OFFSET, np.uint64), np.frombuffer(b"".join(features), np.uint8), np.cumsum(size) - size, size)
+
+
 class HashEmbedder:
     """Words and adjacent pairs, hashed to signed places, normalised."""
 
@@ -113,11 +119,38 @@ def embed_column(df: DataFrame, make: Callable[[], Embedder], *, text_col: str =
     return spread(df).mapInArrow(run, schema)
 
 
+def _features(batches: Iterator[pa.RecordBatch], dim: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in pieces(b, pc.binary_length(b.column(1)).fill_null(0).to_numpy() + 8 * dim, lexical.BYTES):
+            n = part.num_rows
+            doc, words = lexical.split(lexical.folded(part.column(1)), lexical.SPACE)
+            words = pa.concat_arrays([words])  # from offset 0
+            _, ends, raw = words.buffers()
+            ends = np.frombuffer(ends, np.int32)[: len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+            data = np.frombuffer(raw, np.uint8) if len(words) else np.zeros(0, np.uint8)
+            start, size = ends[:-1], np.diff(ends)
+            one = fnv1a_on(np.full(len(words), OFFSET, np.uint64), data, start, size)
+            next_to = np.flatnonzero(doc[1:] == doc[:-1])
+            two = fnv1a_on((one[next_to] ^ np.uint64(ord("_"))) * np.uint64(PRIME), data, start[next_to + 1], size[next_to + 1])
+            h, row = np.concatenate([one, two]), np.concatenate([doc, doc[next_to]])
+            at = row * dim + (h % np.uint64(dim)).astype(np.int64)
+            v = np.bincount(at, np.where(h >> np.uint64(63), -1.0, 1.0), n * dim)
+            norm = np.sqrt((v * v).reshape(n, dim).sum(1))
+            some = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some // dim)), pa.array(some % dim), pa.array(v[some] / norm[some // dim])], schema=schema)
+
+
 def hash_features(docs: DataFrame, dim: int = DIM, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The hash embedding as sparse rows (doc_id, idx, value), in built-in functions only; zero sums don't show.
+    """The hash embedding as sparse rows (doc_id, idx, value); zero sums don't show.
 
-    Distinct features are hashed once: their places are joined back, so the interpreted hash runs over a vocabulary.
+    A row's features are hashed and summed where it lies. Rows of one id count as one text's, so where ids repeat they meet
+    first, in built-in functions: distinct features are hashed once there, and their places joined back.
     """
+    if unique_ids(docs, id_col):
+        ship(docs.sparkSession)
+        rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+        out = T.StructType([rows.schema["doc_id"], T.StructField("idx", T.LongType()), T.StructField("value", T.DoubleType())])
+        return rows.mapInArrow(lambda batches: _features(batches, dim, to_arrow_schema(out)), out)
     w = docs.select(F.col(id_col).alias("doc_id"), F.transform(X.words(F.col(text_col)), X.fold).alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(F.array().cast("array<string>"))
     counted = w.select("doc_id", F.explode(F.concat("w", pairs)).alias("f")).groupBy("doc_id", "f").agg(F.count(F.lit(1)).alias("n"))
