@@ -8,7 +8,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -156,5 +156,5 @@ def hash_features(docs: DataFrame, dim: int = DIM, *, id_col: str = "doc_id", te
     counted = w.select("doc_id", F.explode(F.concat("w", pairs)).alias("f")).groupBy("doc_id", "f").agg(F.count(F.lit(1)).alias("n"))
     placed = counted.select("f").distinct().withColumn("h", V.fnv1a(F.col("f"))).select("f", V.hash_index(F.col("h"), dim).alias("idx"), V.hash_sign(F.col("h")).alias("sign"))
     sums = counted.join(placed, "f").groupBy("doc_id", "idx").agg(F.sum(F.col("n") * F.col("sign")).alias("v"))
-    norms = sums.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.where("v != 0").join(norms, "doc_id").select("doc_id", "idx", (F.col("v") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")))  # a missing id counts as one
+    return sums.withColumn("norm", norm).where("v != 0").select("doc_id", "idx", (F.col("v") / F.col("norm")).alias("value"))
